@@ -7,12 +7,15 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellmend.llm import bpe
+from cellmend.llm import bpe, chat, decontam, langid, licenses, line_dedup, pii, simhash, sketch, token_counts
 from cellmend.llm.common import documents
 
 #: Folder of the public tokenizers' files, the same on the driver and the executors.
 TOKENIZERS = os.environ.get("PUBLIC_TOKENIZERS", "/opt/tokenizers")
 BYTE_BPE = f"{TOKENIZERS}/byte_bpe_50k.json"
+PIECES = f"{TOKENIZERS}/piece_bpe_32k.model"
+#: The id that ends a document in flat token files.
+END_OF_DOCUMENT = 50256
 
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,6 +24,89 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", bpe.n_ids("ids").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
-QUERIES = {"op1_bpe": op1_bpe}
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's personal data: the base kinds' counts and all spans."""
+    found = pii.find_pii(documents(spark, sf_dir).select("doc_id", "text"))
+    counts = [pii.count_kind("base", k).alias(f"n_{k}") for k in pii.KINDS]
+    return found.select("doc_id", *counts, F.sha2(pii.joined(F.col("base")).cast("binary"), 256).alias("base_sha256"), pii.joined(F.array_sort(F.concat("base", "added"))).alias("spans"))
+
+
+def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's language, by a model of the documents that aren't held out."""
+    docs = documents(spark, sf_dir)
+    model = langid.train(docs, langid.vocabulary(PIECES))
+    done = langid.predict(docs.select("doc_id", "text"), model)
+    return done.select("doc_id", (langid.remainder("doc_id") == 2).alias("held_out"), "lang_pred", "score")
+
+
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's tokens, counted in the flat files of all documents."""
+    blocks, manifest = token_counts.write_tokens(documents(spark, sf_dir), BYTE_BPE, END_OF_DOCUMENT)
+    counted = token_counts.count_tokens(blocks, END_OF_DOCUMENT)
+    return manifest.join(counted, ["file", "seq"]).select(F.col("id").alias("doc_id"), "file", "seq", "start", "n_tokens")
+
+
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the lines that at least three documents share."""
+    done = line_dedup.drop_shared_lines(documents(spark, sf_dir).select("doc_id", "text"))
+    return done.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's license phrases and fuzzy notices."""
+    done = licenses.scan_licenses(documents(spark, sf_dir).select("doc_id", "text"))
+    starts = F.transform("exact", lambda x: x["start"])
+    return done.select(
+        "doc_id", "n_words", F.size("exact").cast("long").alias("n_base"), F.array_min(starts).alias("first_word"), F.array_max(starts).alias("last_word"),
+        licenses.label_list(F.col("exact")).alias("base_labels"), licenses.label_list(F.col("exact"), F.col("fuzzy")).alias("labels"), "score",
+    )
+
+
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every benchmark item in every document that contains it."""
+    return decontam.contained_items(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's SimHash of 3-word shingles and its component at radius 2."""
+    found = simhash.near_duplicates(documents(spark, sf_dir).select("doc_id", "text"))
+    return found.select("doc_id", simhash.hex_fingerprint("fingerprint").alias("fingerprint"), "component_id")
+
+
+def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's sketch against those of its edited text and of the next document."""
+    done = sketch.compare_with_edits(documents(spark, sf_dir).select("doc_id", "text"))
+    own, edited, following = F.col("sketch"), F.col("edited_sketch"), F.col("next_sketch")
+    return done.select(
+        "doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), sketch.text_form(own).alias("fingerprint"), sketch.text_form(edited).alias("edited_fingerprint"),
+        sketch.likeness(own, edited).alias("near_edited"), sketch.likeness(own, following).alias("near_next"), sketch.containment(own, edited).alias("contained_in_edited"),
+    )
+
+
+def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation, and one of control strings only, formatted and read back."""
+    table = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    said = "</s>[INST] ok [/INST]"
+    own = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    done = chat.read_conversations(chat.format_conversations(table.unionByName(own)))
+    turns = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return done.select(
+        "conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(turns.cast("binary"), 256).alias("turns_sha256"),
+        F.length("loss_text").cast("long").alias("loss_chars"), F.sha2(F.col("loss_text").cast("binary"), 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
+QUERIES = {
+    "op1_bpe": op1_bpe,
+    "op2_pii": op2_pii,
+    "op3_language": op3_language,
+    "op4_token_counts": op4_token_counts,
+    "op5_line_dedup": op5_line_dedup,
+    "op6_license_scan": op6_license_scan,
+    "op7_decontamination": op7_decontamination,
+    "op8_simhash": op8_simhash,
+    "op9_fingerprints": op9_fingerprints,
+    "op10_chat": op10_chat,
+}
 
 ORACLE_SQL: dict[str, str] = {}
