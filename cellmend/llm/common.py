@@ -28,14 +28,20 @@ def bounded_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df, written to the shared folder of `spark.checkpoint.dir` and read from there.
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The shared folder of `spark.checkpoint.dir`.
 
-    Only where the session names no folder (tests on one machine) a temporary one is set.
+    Only where the session names none (tests on one machine) a temporary one is set.
     """
-    context = df.sparkSession.sparkContext
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp("checkpoints"))
+    return context.getCheckpointDir()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df, written to the shared folder and read from there."""
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
