@@ -296,7 +296,10 @@ def fold(node: Node) -> Node:
     below = tuple(map(fold, node.below))
     node = Node(node.kind, node.value, below)
     if (node.kind in _PURE or node.kind == "filter") and all(b.kind == "constant" for b in below):
-        return Node("constant", compiled(node)({}))
+        try:
+            return Node("constant", compiled(node)({}))
+        except TypeError:  # fails where it is rendered, if it is
+            return node
     if node.kind == "choice" and below[0].kind == "constant":
         return below[1] if below[0].value else below[2]
     if node.kind == "if" and below[0].kind == "constant":

@@ -71,12 +71,13 @@ def append_columns(df: DataFrame, inputs: list[str], fields: list[T.StructField]
     kept = others(df, *(f.name for f in fields))
     places = {c: i for i, c in enumerate(kept)}
     extra = [c for c in inputs if c not in places]
-    source = df.select(*(col(c) for c in kept), *(col(c).alias(f"__in_{i}") for i, c in enumerate(extra)))
+    # Plain names on the way, as Spark looks the columns up by name without quotes.
+    source = df.select(*(col(c).alias(f"__c{i}") for i, c in enumerate([*kept, *extra])))
     places |= {c: len(kept) + i for i, c in enumerate(extra)}
     at, n = [places[c] for c in inputs], len(kept)
-    schema = T.StructType([*(T.StructField(f.name, f.dataType) for f in source.schema.fields[:n]), *fields])
+    schema = T.StructType([*(T.StructField(f.name, f.dataType) for f in source.schema.fields[:n]), *(T.StructField(f"__new{i}", f.dataType) for i, f in enumerate(fields))])
     types = [arrow_type(f.dataType) for f in fields]
-    names = [f.name for f in schema.fields]
+    names = schema.names
 
     def run(batches: Iterable[pa.RecordBatch]):
         work = make(*args)
@@ -84,7 +85,7 @@ def append_columns(df: DataFrame, inputs: list[str], fields: list[T.StructField]
             new = work(*(batch.column(i) for i in at))
             yield pa.RecordBatch.from_arrays([*batch.columns[:n], *(x if isinstance(x, pa.Array) else pa.array(x, t) for x, t in zip(new, types, strict=True))], names=names)
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(run, schema).toDF(*kept, *(f.name for f in fields))
 
 
 def arrow_type(kind: T.DataType) -> pa.DataType:
