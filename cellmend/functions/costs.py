@@ -61,7 +61,11 @@ class UserDefinedUpdateCostFunction(UpdateCostFunction):
     def __init__(self, f: Callable[[Any, Any], float], targets: list[str] | None = None):
         super().__init__(targets)
         self.f = f
-        if not isinstance(f("x", "y"), float):
+        try:
+            sound = isinstance(f("x", "y"), float)
+        except Exception:  # whatever a user's function raises
+            sound = False
+        if not sound:
             raise ValueError("`f` should take two values and return a float cost value")
 
     def __str__(self) -> str:

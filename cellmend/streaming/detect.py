@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cellmend.functions.names import col
@@ -41,7 +41,11 @@ def detect_stream(stream: DataFrame, row_id: str, flags: list[d.Flag], kept: Ite
 def error_rates(stream: DataFrame, time_col: str, flags: list[d.Flag], window: str = "10 minutes", watermark: str = "30 minutes") -> DataFrame:
     """(window, rows, and the errors of each attribute) of a stream; rows later than the
     watermark are left out."""
-    counts = [F.count_if(condition).alias(f"errors_{attr}") for attr, condition in flags]
+    by_attr: dict[str, Column] = {}
+    for attr, condition in flags:
+        flag = F.coalesce(condition, F.lit(False))
+        by_attr[attr] = by_attr[attr] | flag if attr in by_attr else flag
+    counts = [F.count_if(condition).alias(f"errors_{attr}") for attr, condition in by_attr.items()]
     return stream.withWatermark(time_col, watermark).groupBy(F.window(time_col, window)).agg(F.count("*").alias("rows"), *counts)
 
 
