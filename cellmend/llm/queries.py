@@ -109,4 +109,33 @@ QUERIES = {
     "op10_chat": op10_chat,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_LINES = f"""WITH l AS (SELECT doc_id, generate_subscripts(x, 1) AS n, unnest(x) AS line FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS x FROM documents)),
+k AS (SELECT *, translate(trim(line, concat(' ', chr(9), chr(10), chr(11), chr(12), chr(13))), '{_UPPER}', '{_LOWER}') AS key FROM l),
+s AS (SELECT key, max(doc_id) AS stays FROM k WHERE length(key) >= 20 GROUP BY key HAVING count(DISTINCT doc_id) >= 3)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE stays <> doc_id) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY n) FILTER (WHERE stays IS NULL OR stays = doc_id), '')) AS kept_sha256
+FROM k LEFT JOIN s USING (key) GROUP BY doc_id"""
+_WORDS = r"regexp_extract_all(lower(text), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+_SHINGLES = "unnest(list_distinct(list_transform(range(1, len(x) - w + 2), lambda i: array_to_string(x[i:i + w - 1], ' '))))"
+_LEAKS = f"""WITH i AS (SELECT item_id, x, least(5, len(x)) AS w FROM (SELECT item_id, {_WORDS} AS x FROM benchmark) WHERE len(x) > 0),
+own AS (SELECT item_id, w, {_SHINGLES} AS s FROM i), size AS (SELECT item_id, count(*) AS n FROM own GROUP BY item_id),
+d AS (SELECT doc_id, w, {_SHINGLES} AS s FROM (SELECT doc_id, {_WORDS} AS x FROM documents), (SELECT DISTINCT w FROM i)),
+shared AS (SELECT doc_id, item_id, count(*) AS n_shared FROM d JOIN own USING (w, s) GROUP BY ALL)
+SELECT doc_id, item_id, n_shared, n AS n_shingles, CAST(n_shared AS DOUBLE) / n AS containment FROM shared JOIN size USING (item_id) WHERE 10 * n_shared >= 8 * n"""
+
+
+def _escaped_length(x: str) -> str:
+    """The length of an escaped text: two more for each control string, one for each escape."""
+    count = lambda c: f"(length({x}) - length(replace({x}, {c}, '')))"
+    return " + ".join([f"length({x})", count(f"chr({ord(chat.ESCAPE)})"), *(f"2 * ({count(repr(c))} // {len(c)})" for c in chat.CONTROLS)])
+
+
+_SAID = "</s>[INST] ok [/INST]"
+_CHAT = f"""WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations UNION ALL SELECT * FROM (VALUES (-1, 0, 'user', '{_SAID}'), (-1, 1, 'assistant', '{_SAID}'))),
+o AS (SELECT *, {_escaped_length('text')} + {_escaped_length('role')} + length(role) - length(replace(role, chr(10), '')) + {len(chat.BEGIN) + len(chat.END) + 2} AS size FROM t)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(concat(role, chr(10), text, chr(10)), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+CAST(sum(size) AS BIGINT) AS formatted_chars FROM o GROUP BY conv_id"""
+
+#: The other operators merge bytes, hash, fit or match in ways that SQL has no functions for.
+ORACLE_SQL = {"op5_line_dedup": _LINES, "op7_decontamination": _LEAKS, "op10_chat": _CHAT}
