@@ -28,15 +28,28 @@ Flag = tuple[str, Column]
 
 
 def no_cells(df: DataFrame, row_id: str) -> DataFrame:
-    return df.sparkSession.createDataFrame([], T.StructType([df.schema[row_id], T.StructField("attribute", T.StringType(), False)]))
+    return df.sparkSession.createDataFrame([], T.StructType([df.schema[row_id], T.StructField("attribute", T.StringType(), False), T.StructField("current_value", T.StringType())]))
 
 
 def flagged(df: DataFrame, row_id: str, flags: list[Flag]) -> DataFrame:
-    """(row id, attribute) of the conditions that hold, from one scan."""
+    """(row id, attribute, current_value) of the conditions that hold, from one scan."""
     if not flags:
         return no_cells(df, row_id)
-    names = F.array(*(F.when(condition, F.lit(attr)) for attr, condition in flags))
-    return df.select(col(row_id), F.explode(F.array_distinct(F.filter(names, lambda n: n.isNotNull()))).alias("attribute"))
+    by_attr: dict[str, Column] = {}
+    for attr, condition in flags:
+        flag = F.coalesce(condition, F.lit(False))
+        by_attr[attr] = by_attr[attr] | flag if attr in by_attr else flag
+    cells = F.array(*(F.when(flag, _cell(attr)) for attr, flag in by_attr.items()))
+    return df.select(col(row_id), F.inline(F.filter(cells, lambda c: c.isNotNull())))
+
+
+def _cell(attr: str) -> Column:
+    return F.struct(F.lit(attr).alias("attribute"), col(attr).cast("string").alias("current_value"))
+
+
+def cells_of(df: DataFrame, row_id: str, attrs: Iterable[str]) -> DataFrame:
+    """(row id, attribute, current_value) of these columns of all rows."""
+    return df.select(col(row_id), F.inline(F.array(*map(_cell, attrs))))
 
 
 class ErrorDetector(ABC):
@@ -64,12 +77,17 @@ class ErrorDetector(ABC):
         """Conditions on a single row, or None of a detector that needs other rows too."""
         return None
 
-    def detect(self) -> DataFrame:
+    def cells(self) -> DataFrame:
+        """(row id, attribute, current_value): values come along, so that no join fetches them."""
         flags = self.flags()
         if flags is None:
             raise NotImplementedError
         return flagged(self.df, self.row_id, flags)
 
+    def detect(self) -> DataFrame:
+        """(row id, attribute)."""
+        return self.cells().select(col(self.row_id), "attribute")
+
 
 class NullErrorDetector(ErrorDetector):
     """Null cells."""
@@ -109,11 +127,12 @@ class DomainValues(ErrorDetector):
     def frequent(self) -> DataFrame:
         return self.df.where(col(self.attr).isNotNull()).groupBy(col(self.attr).cast("string").alias("__value")).count().where(F.col("count") > self.min_count_thres).select("__value")
 
-    def detect(self) -> DataFrame:
+    def cells(self) -> DataFrame:
         if self.flags() is not None:
-            return super().detect()
-        outside = self.df.join(self.frequent(), col(self.attr).cast("string") == F.col("__value"), "left_anti")
-        return outside.select(col(self.row_id), F.lit(self.attr).alias("attribute"))
+            return super().cells()
+        narrow = self.df.select(col(self.row_id), col(self.attr))
+        outside = narrow.join(self.frequent(), col(self.attr).cast("string") == F.col("__value"), "left_anti")
+        return cells_of(outside, self.row_id, [self.attr])
 
 
 class RegExErrorDetector(ErrorDetector):
@@ -148,13 +167,15 @@ class ConstraintErrorDetector(ErrorDetector):
         texts = (dc.read_file(self.constraint_path) if self.constraint_path else []) + dc.split_inline(self.constraints)
         return dc.load(texts, self.df.columns)
 
-    def detect(self) -> DataFrame:
+    def cells(self) -> DataFrame:
         found = []
         for c in self.parsed():
             attrs = [a for a in c.references if a in self._targets]
             if attrs:
                 needed = self.df.select(*(col(n) for n in dict.fromkeys([self.row_id, *c.references, *_named(self.df, c)])))
-                found.append(dc.violating_rows(needed, c).select(col(self.row_id), F.explode(F.array(*map(F.lit, attrs))).alias("attribute")))
+                found.append(cells_of(dc.violating_rows(needed, c), self.row_id, attrs))
+        if len(found) == 1:  # each row comes once
+            return found[0]
         return reduce(DataFrame.union, found).distinct() if found else no_cells(self.df, self.row_id)
 
 
@@ -210,7 +231,7 @@ class FittedOutlierErrorDetector(ErrorDetector):
     @abstractmethod
     def _outlier_detector_impl(self) -> Any: ...
 
-    def detect(self) -> DataFrame:
+    def cells(self) -> DataFrame:
         names = [c for c in self._targets if c in self.continuous]
         if not names:
             return no_cells(self.df, self.row_id)
@@ -218,16 +239,16 @@ class FittedOutlierErrorDetector(ErrorDetector):
         medians = self.df.agg(F.count("*"), *(F.percentile(col(c), F.lit(0.5)) for c in names)).first()
         n = medians[0]
         groups = 1 if n <= self.parallel_mode_threshold else max(self.num_parallelism or 1, math.ceil(n / self.parallel_mode_threshold))
-        values = F.array(*(F.struct(F.lit(c).alias("attribute"), F.coalesce(col(c).cast("double"), F.lit(m)).alias("value")) for c, m in zip(names, medians[1:], strict=True) if m is not None))
+        values = F.array(*(F.struct(F.lit(c).alias("attribute"), F.coalesce(col(c).cast("double"), F.lit(m)).alias("value"), col(c).cast("string").alias("current_value")) for c, m in zip(names, medians[1:], strict=True) if m is not None))
         cells = self.df.select(col(self.row_id).alias("__id"), F.inline(values)).withColumn("__group", F.pmod(F.xxhash64("__id"), F.lit(groups)))
         estimator = self._outlier_detector_impl()
 
         def fit(group: pd.DataFrame) -> pd.DataFrame:
             wrong = np.asarray(copy.deepcopy(estimator).fit_predict(group[["value"]].to_numpy())) < 0
-            return group.loc[wrong, ["__id", "attribute"]]
+            return group.loc[wrong, ["__id", "attribute", "current_value"]]
 
-        schema = T.StructType([T.StructField("__id", self.df.schema[self.row_id].dataType), T.StructField("attribute", T.StringType())])
-        return cells.groupBy("attribute", "__group").applyInPandas(fit, schema).select(F.col("__id").alias(self.row_id), "attribute")
+        schema = T.StructType([T.StructField("__id", self.df.schema[self.row_id].dataType), T.StructField("attribute", T.StringType()), T.StructField("current_value", T.StringType())])
+        return cells.groupBy("attribute", "__group").applyInPandas(fit, schema).select(F.col("__id").alias(self.row_id), "attribute", "current_value")
 
 
 #: The name under which users of fitted detectors know the base.
@@ -289,19 +310,20 @@ def default_detectors(columns: Iterable[str]) -> list[ErrorDetector]:
 
 
 def detect_all(df: DataFrame, row_id: str, detectors: Iterable[ErrorDetector], continuous: Iterable[str], targets: Iterable[str]) -> DataFrame:
-    """The distinct cells that any detector finds; all row-wise ones share one scan."""
+    """The distinct cells (row id, attribute, current_value) that any detector finds; all
+    row-wise ones share one scan."""
     flags: list[Flag] = []
     plans: list[DataFrame] = []
     for d in detectors:
         d.setUp(row_id, df, continuous, targets)
         own = d.flags()
         if own is None:
-            plans.append(d.detect())
+            plans.append(d.cells())
         else:
             flags += own
     if flags or not plans:
         plans.insert(0, flagged(df, row_id, flags))
-    return plans[0] if len(plans) == 1 and flags else reduce(DataFrame.union, plans).distinct()
+    return plans[0] if len(plans) == 1 else reduce(DataFrame.union, plans).distinct()
 
 
 def given_cells(cells: DataFrame, row_id: str, columns: Iterable[str]) -> DataFrame:

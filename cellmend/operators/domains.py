@@ -72,12 +72,14 @@ def cells_by_row(cells: DataFrame, row_id: str) -> DataFrame:
     return cells.groupBy(col(row_id).alias("__id")).agg(F.collect_set("attribute").alias("__errors"))
 
 
-def repair_base(df: DataFrame, cells: DataFrame, row_id: str, targets: Iterable[str]) -> DataFrame:
-    """Df with its error cells of the targets set to null."""
+def repair_base(df: DataFrame, cells: DataFrame, row_id: str, targets: Iterable[str], dirty: str | None = None) -> DataFrame:
+    """Df with its error cells of the targets set to null; with a column `dirty` that tells
+    rows that have any, if it is named."""
     wanted = set(targets)
     joined = df.join(cells_by_row(cells, row_id), col(row_id) == F.col("__id"), "left")
     clear = lambda c: F.when(~F.coalesce(F.array_contains("__errors", c), F.lit(False)), col(c)).alias(c) if c in wanted else col(c)
-    return joined.select(*(clear(c) for c in df.columns))
+    marks = [F.col("__errors").isNotNull().alias(dirty)] if dirty else []
+    return joined.select(*(clear(c) for c in df.columns), *marks)
 
 
 def split_rows(df: DataFrame, cells: DataFrame, row_id: str) -> tuple[DataFrame, DataFrame]:

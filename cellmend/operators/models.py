@@ -170,7 +170,7 @@ class TreeModel:
     def _inputs(self, df: DataFrame) -> DataFrame:
         kinds = dict(df.dtypes)
         numbers = [col(x).cast("double").alias(f"__n{i}") for i, x in enumerate(self.features) if kinds[x] in CONTINUOUS]
-        texts = [F.coalesce(col(x).cast("string"), F.lit("")).alias(f"__s{i}") for i, x in enumerate(self.features) if kinds[x] not in CONTINUOUS]
+        texts = [F.coalesce(F.concat(F.lit("="), col(x).cast("string")), F.lit("null")).alias(f"__s{i}") for i, x in enumerate(self.features) if kinds[x] not in CONTINUOUS]
         return df.select("*", *numbers, *texts)
 
     def fit(self, df: DataFrame, small: dict[str, int]) -> TreeModel:

@@ -50,7 +50,10 @@ def discretize(df: DataFrame, row_id: str, threshold: int, approx: bool = False)
     more than one and at most `threshold` values.
     """
     kinds = {c: kind for c, kind in df.dtypes if c != row_id}
-    sizes = distinct_counts(df, kinds, approx)
+    # Sketches tell the columns whose exact count can matter; only these are shuffled.
+    sizes = distinct_counts(df, kinds, approx=True)
+    if not approx:
+        sizes |= distinct_counts(df, [c for c, n in sizes.items() if n <= 2 * max(threshold, 1000)])
     bounds = extremes(df, [c for c, kind in kinds.items() if kind in CONTINUOUS])
     kept = [col(row_id)]
     for c, kind in kinds.items():

@@ -103,11 +103,9 @@ class ErrorModel:
     def noisy_cells(self) -> DataFrame:
         """All flagged cells with their current values."""
         if self.given is not None:
-            cells = d.given_cells(self.given, self.row_id, self.targets)
-        else:
-            found = self.detectors or d.default_detectors(self.targets)
-            cells = d.detect_all(self.df, self.row_id, found, self.continuous, self.targets)
-        return d.with_current_values(self.df, cells, self.row_id)
+            return d.with_current_values(self.df, d.given_cells(self.given, self.row_id, self.targets), self.row_id)
+        found = self.detectors or d.default_detectors(self.targets)
+        return d.detect_all(self.df, self.row_id, found, self.continuous, self.targets)
 
     def detect(self) -> tuple[DataFrame, list[str], dict[str, list[tuple[str, float]]], dict[str, int], DataFrame | None]:
         """(error cells, repairable columns, entropies, domain sizes, discretized table)."""
@@ -277,15 +275,18 @@ class RepairModel:
             raise ValueError("At least one valid discretizable feature is needed to repair error cells, but no such feature found")
         cells = errors.hold(domains.of_columns(cells, targets))
         n_cells = cells.count()
-        base = domains.repair_base(df, cells, row_id, targets)
+        base = domains.repair_base(df, cells, row_id, targets, "__dirty")
         by_rule = None
         if self.by_rules:
             cells, by_rule = self._by_rules(base, cells, targets)
             if by_rule is not None:
                 by_rule = errors.hold(by_rule)
                 base = misc.apply_updates(by_rule, base, row_id)
-        base = errors.hold(base)
-        clean, dirty = domains.split_rows(base, cells, row_id)
+        marked = errors.hold(base)
+        # The mark saves two joins by row id. Rows that rules have mended stay among the dirty
+        # ones, where nothing is left to fill.
+        base = marked.drop("__dirty")
+        clean, dirty = (marked.where(F.col("__dirty") == x).drop("__dirty") for x in (False, True))
         pmf, filled = self._predicted(base, dirty, cells, targets, continuous, entropies, sizes, discrete)
         if with_pmf and not likely:
             done = finished_pmf(pmf(), row_id, self._value(o.PROB_THRESHOLD), self._value(o.PROB_TOP_K))
@@ -300,9 +301,7 @@ class RepairModel:
             best = best_scored(errors.hold(scores), self.repair_delta, n_cells)
             if not whole:
                 return best
-            current = domains.union_all([d.with_current_values(df, cells, row_id).withColumnRenamed("current_value", "repaired")])
-            kept = domains.without_cells(current, best, row_id)
-            return clean.unionByName(misc.apply_updates(best.select(col(row_id), "attribute", "repaired").union(kept.select(col(row_id), "attribute", "repaired")), dirty, row_id))
+            return misc.apply_updates(best, df, row_id)  # cells that aren't chosen keep their values
         if whole:
             return clean.unionByName(filled())
         flat = misc.flatten(filled(), row_id).select(col(row_id).alias("__id"), F.col("attribute").alias("__a"), F.col("value").alias("repaired"))

@@ -76,7 +76,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def _detect(df: DataFrame, row_id: str, *detectors: d.ErrorDetector, targets: list[str] | None = None) -> DataFrame:
-    return d.detect_all(df, row_id, detectors, continuous_columns(df, row_id), targets or [c for c in df.columns if c != row_id])
+    return d.detect_all(df, row_id, detectors, continuous_columns(df, row_id), targets or [c for c in df.columns if c != row_id]).select(col(row_id), "attribute")
 
 
 # Detection

@@ -83,7 +83,7 @@ def test_fitted_by_the_user(spark):
 def test_row_wise_detectors_share_a_scan(spark, people):
     found = d.detect_all(people, "tid", [d.NullErrorDetector(), d.RegExErrorDetector("sex", "^Male$"), d.DomainValues("age", [">50"])], [], ["age", "sex"])
     plan = found._jdf.queryExecution().optimizedPlan().toString()
-    assert plan.count("Generate explode") == 1 and "Union" not in plan
+    assert plan.count("Generate inline") == 1 and "Union" not in plan
     assert found.count() == found.distinct().count()
 
 
