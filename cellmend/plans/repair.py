@@ -116,8 +116,8 @@ class ErrorModel:
             return cells, [], {}, {}, None
         discrete, sizes = stats.discretize(self.df, self.row_id, self.discrete_threshold)
         usable = [c for c in noisy if c in discrete.columns]
-        if not usable or len(discrete.columns) < 3:
-            return cells, usable if len(discrete.columns) >= 3 else [], {c: [] for c in usable}, sizes, discrete
+        if not usable:
+            return cells, [], {}, sizes, discrete
         discrete = self.hold(discrete)
         kept_sizes = {c: sizes[c] for c in discrete.columns if c != self.row_id}
         pairs = stats.candidate_pairs(discrete, usable, kept_sizes, value(o.PAIR_FREQ_RATIO), value(o.MAX_PAIR_ATTRS))

@@ -158,6 +158,11 @@ def test_arguments(spark, people):
         model(spark.createDataFrame([(1, "a", None), (2, "a", None)], "tid int, x string, y string")).run()
 
 
+def test_a_single_discrete_column(spark):
+    df = spark.createDataFrame([(i, str(i), None if i == 3 else "ab"[i % 5 == 0]) for i in range(200)], "tid int, x string, y string")
+    assert cells(nulls(df).run()) == [(3, "y", None, "a")]
+
+
 def test_prediction_order():
     assert models.dependency_order(["a"], {"b": "a", "c": "b"}) == ["a", "b", "c"]
     assert set(models.dependency_order([], {"b": "c", "c": "b"})) == {"b", "c"}
