@@ -30,7 +30,7 @@ STRIPPED = " \t\n\x0b\x0c\r"
 #: Keys of a shard.
 SHARD_KEYS = 50_000
 #: Probes that a copy of a shard meets.
-SHARD_PROBES = 500_000
+SHARD_PROBES = 100_000
 #: Bits of a level for each key that is still without a slot.
 GAMMA = 2
 
