@@ -11,6 +11,7 @@ import math
 from abc import ABC, abstractmethod
 from collections.abc import Callable, Iterable
 from functools import reduce
+from operator import or_
 from typing import Any
 
 import numpy as np
@@ -37,10 +38,11 @@ def flagged(df: DataFrame, row_id: str, flags: list[Flag]) -> DataFrame:
         return no_cells(df, row_id)
     by_attr: dict[str, Column] = {}
     for attr, condition in flags:
-        flag = F.coalesce(condition, F.lit(False))
-        by_attr[attr] = by_attr[attr] | flag if attr in by_attr else flag
+        by_attr[attr] = by_attr[attr] | condition if attr in by_attr else condition
     cells = F.array(*(F.when(flag, _cell(attr)) for attr, flag in by_attr.items()))
-    return df.select(col(row_id), F.inline(F.filter(cells, lambda c: c.isNotNull())))
+    # The filter comes first, so that the scan can use it.
+    wrong = df.where(reduce(or_, by_attr.values()))
+    return wrong.select(col(row_id), F.inline(F.filter(cells, lambda c: c.isNotNull())))
 
 
 def _cell(attr: str) -> Column:
@@ -309,19 +311,43 @@ def default_detectors(columns: Iterable[str]) -> list[ErrorDetector]:
     return [NullErrorDetector(), *(DomainValues(c, autofill=True, min_count_thres=4) for c in columns)]
 
 
+#: Frequent values that are taken into conditions; beyond, an anti join finds the others.
+MOST_VALUES = 10_000
+
+
+def _filled_domains(df: DataFrame, detectors: list[DomainValues]) -> dict[str, list[str]] | None:
+    """The frequent values of each detector's column, from one count over all of them, or None
+    of too many."""
+    cells = F.array(*(F.struct(F.lit(d.attr).alias("a"), F.lit(d.min_count_thres).alias("least"), col(d.attr).cast("string").alias("v")) for d in detectors))
+    counts = df.select(F.inline(cells)).where("v is not null").groupBy("a", "least", "v").count().where("count > least")
+    rows = counts.select("a", "v").limit(MOST_VALUES + 1).collect()
+    if len(rows) > MOST_VALUES:
+        return None
+    out: dict[str, list[str]] = {d.attr: [] for d in detectors}
+    for r in rows:
+        out[r["a"]].append(r["v"])
+    return out
+
+
 def detect_all(df: DataFrame, row_id: str, detectors: Iterable[ErrorDetector], continuous: Iterable[str], targets: Iterable[str]) -> DataFrame:
     """The distinct cells (row id, attribute, current_value) that any detector finds; all
     row-wise ones share one scan."""
     flags: list[Flag] = []
     plans: list[DataFrame] = []
-    for d in detectors:
-        d.setUp(row_id, df, continuous, targets)
+    ready = [d.setUp(row_id, df, list(continuous), list(targets)) for d in detectors]
+    filled = [d for d in ready if isinstance(d, DomainValues) and d.flags() is None]
+    domains = _filled_domains(df, filled) if filled and len({d.attr for d in filled}) == len(filled) else None
+    for d in ready:
+        if domains is not None and d in filled:
+            text = col(d.attr).cast("string")
+            flags.append((d.attr, text.isNull() | ~text.isin(domains[d.attr]) if domains[d.attr] else F.lit(True)))
+            continue
         own = d.flags()
         if own is None:
             plans.append(d.cells())
         else:
             flags += own
-    if flags or not plans:
+    if flags or not plans:  # one scan
         plans.insert(0, flagged(df, row_id, flags))
     return plans[0] if len(plans) == 1 else reduce(DataFrame.union, plans).distinct()
 

@@ -48,7 +48,9 @@ def by_nearest(base: DataFrame, cells: DataFrame, row_id: str, targets: Iterable
 def dependency_values(df: DataFrame, x: str, y: str) -> DataFrame:
     """(x, y) where a value of x goes with one value of y only; null is no value."""
     known = df.where(col(x).isNotNull() & col(y).isNotNull())
-    return known.groupBy(col(x).alias(x)).agg(F.min(col(y)).alias("__low"), F.max(col(y)).alias("__high")).where("__low <=> __high").select(col(x), F.col("__low").alias(y))
+    pairs = known.select(col(x).alias("__x"), col(y).alias("__y")).distinct()
+    alone = pairs.groupBy("__x").agg(F.count("*").alias("__n"), F.first("__y").alias("__y")).where("__n = 1")
+    return alone.select(F.col("__x").alias(x), F.col("__y").alias(y))
 
 
 def by_dependency(df: DataFrame, x: str, y: str, values: DataFrame | None = None) -> DataFrame:

@@ -173,11 +173,14 @@ def _same(names: list[str], prefix: str) -> Column:
 
 
 def _unequal(df: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """R2: the groups of the keys that hold more than one value, null being one; linear, and
-    combined before the shuffle."""
-    v = col(value)
-    mixed = (F.min(v) < F.max(v)) | ((F.count(v) > 0) & (F.count(v) < F.count("*")))
-    bad = df.groupBy(*_keyed(df, keys, "__k")).agg(mixed.alias("__mixed")).where("__mixed").drop("__mixed")
+    """R2: the groups of the keys that hold more than one value, null being one.
+
+    Linear: distinct pairs by a hash aggregation, combined before the shuffle and dealt by key
+    and value, so that a hot key is spread; then a count of what is left.
+    """
+    pairs = df.select(*_keyed(df, keys, "__k"), col(value).alias("__v")).distinct()
+    names = [f"__k{i}" for i in range(len(keys))]
+    bad = pairs.groupBy(*names).agg(F.count("*").alias("__n")).where("__n > 1").select(*names)
     return df.join(bad, _same(keys, "__k"), "left_semi")
 
 

@@ -146,6 +146,12 @@ class RepairModel:
         self.repair_delta: int | None = None
         self.cf: UpdateCostFunction | None = None
         self.opts: dict[str, str] = {}
+        self._errors: list[ErrorModel] = []
+
+    def release(self) -> None:
+        """Lets go of what earlier runs persisted; their results stay valid."""
+        while self._errors:
+            self._errors.pop().release()
 
     # Setters; the names are those that users of such models know.
 
@@ -265,6 +271,7 @@ class RepairModel:
         row_id = self.row_id
         given = resolve(SparkSession.active(), self.error_cells) if self.error_cells is not None else None
         errors = ErrorModel(df, row_id, continuous, self.targets, self.discrete_threshold, self.error_detectors, given, self.opts)
+        self._errors.append(errors)
         cells, targets, entropies, sizes, discrete = errors.detect()
         if detect_only:
             return cells

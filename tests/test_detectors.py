@@ -80,6 +80,17 @@ def test_fitted_by_the_user(spark):
         d.LOFOutlierErrorDetector(num_parallelism=0)
 
 
+@pytest.mark.parametrize("most", [10_000, 1])
+def test_default_detectors(spark, people, monkeypatch, most):
+    monkeypatch.setattr(d, "MOST_VALUES", most)
+    columns = [c for c in people.columns if c != "tid"]
+    expected = set()
+    for c in columns:
+        values = [r[c] for r in people.collect()]
+        expected |= {(r["tid"], c) for r in people.collect() if r[c] is None or values.count(r[c]) <= 4}
+    assert set(cells(d.detect_all(people, "tid", d.default_detectors(columns), [], columns), "tid", "attribute")) == expected
+
+
 def test_row_wise_detectors_share_a_scan(spark, people):
     found = d.detect_all(people, "tid", [d.NullErrorDetector(), d.RegExErrorDetector("sex", "^Male$"), d.DomainValues("age", [">50"])], [], ["age", "sex"])
     plan = found._jdf.queryExecution().optimizedPlan().toString()
