@@ -29,8 +29,10 @@ from cellmend.llm.common import append_columns, bounded_batches, checkpointed, c
 STRIPPED = " \t\n\x0b\x0c\r"
 #: Keys of a shard.
 SHARD_KEYS = 50_000
-#: Probes that a copy of a shard meets.
+#: Probes that a shard, or a copy of a hot one, meets.
 SHARD_PROBES = 100_000
+#: Hot shards, of two integers each, that are broadcast at most; more are joined.
+MOST_BROADCAST = 100_000
 #: Bits of a level for each key that is still without a slot.
 GAMMA = 2
 
@@ -141,12 +143,16 @@ def shared_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     lines = checkpointed(line_hashes(df, id_col, text_col, min_chars))
     counts = lines.distinct().groupBy("h1", "h2").agg(F.count("*").alias("n"), F.max("id").alias("largest"))
     counts = checkpointed(counts.where(F.col("n") >= min_docs))
-    shards = 1 + counts.count() // SHARD_KEYS
+    shards = 1 + max(counts.count() // SHARD_KEYS, lines.count() // SHARD_PROBES)
     arrays = build_shards(counts, shards)
     probes = lines.withColumn("shard", F.pmod("h1", F.lit(shards)).cast("int"))
-    copies = probes.groupBy("shard").agg(F.ceil(F.count("*") / SHARD_PROBES).cast("int").alias("copies"))
-    dealt = probes.join(copies, "shard").withColumn("copy", F.pmod(F.xxhash64("id", "h2"), F.col("copies")).cast("int")).select("shard", "copy", "id", "h1", "h2")
-    copied = arrays.join(copies, "shard").withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1))).drop("copies")
+    # A shard meets about SHARD_PROBES; those that a common line makes hot are few.
+    loads = probes.groupBy("shard").agg(F.ceil(F.count("*") / SHARD_PROBES).cast("int").alias("copies"))
+    hot = checkpointed(loads.where("copies > 2"))
+    small = hot.count() <= MOST_BROADCAST
+    copies = lambda x: x.join(F.broadcast(hot) if small else hot, "shard", "left").withColumn("copies", F.coalesce("copies", F.lit(1)))
+    dealt = copies(probes).withColumn("copy", F.pmod(F.xxhash64("id", "h2"), F.col("copies")).cast("int")).select("shard", "copy", "id", "h1", "h2")
+    copied = copies(arrays).withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1))).drop("copies")
     out = "id long, hash binary"
 
     def probe(hashes: pd.DataFrame, shard: pd.DataFrame) -> pd.DataFrame:

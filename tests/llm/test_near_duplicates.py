@@ -38,8 +38,9 @@ def line_rows():
     return [*rows, *ROWS, (None, lines[0]), (500, "\n".join([lines[0]] * 5))]
 
 
-@pytest.mark.parametrize("keys, probes", [(50_000, 100_000), (3, 7)])
-def test_op5(spark, tmp_path, monkeypatch, keys, probes):
+@pytest.mark.parametrize("keys, probes, most", [(50_000, 100_000, 100_000), (3, 7, 100_000), (3, 7, 0)])
+def test_op5(spark, tmp_path, monkeypatch, keys, probes, most):
+    monkeypatch.setattr(line_dedup, "MOST_BROADCAST", most)
     monkeypatch.setattr(line_dedup, "SHARD_KEYS", keys)
     monkeypatch.setattr(line_dedup, "SHARD_PROBES", probes)
     rows = [r for r in line_rows() if r != (None, ROWS[-1][1])]
