@@ -144,56 +144,44 @@ def fit(counts: dict[str, Counter], pieces: list[str], rounds: int = ROUNDS) ->
     return model
 
 
-class Scorer(dict):
+class Scorer:
     """Words' likelihoods, computed in bulk and kept in two bounded generations."""
 
     def __init__(self, model: Model):
-        super().__init__()
-        self.model, self.index, self.older = model, model.index, {}
+        self.model, self.index = model, model.index
         self.rows = np.empty((2 * CACHE, len(model.langs)), np.float32)
+        self.newer: dict[str, int] = {}
+        self.older: dict[str, int] = {}
         self.half = 0
 
     def scores(self, counters: list[Counter]) -> np.ndarray:
-        """(text, language) log-likelihoods."""
+        """(text, language) log-likelihoods; a word of several texts is scored once."""
+        found = list(set().union(*counters))
+        rows, place = self.of_words(found), {w: i for i, w in enumerate(found)}
         out = np.zeros((len(counters), len(self.model.langs)))
         for i, c in enumerate(counters):
-            found = list(c)
-            for a in range(0, len(found), CACHE):
-                part = found[a : a + CACHE]
-                at = self._rows(part)
-                out[i] = out[i] + np.fromiter(map(c.__getitem__, part), np.float64, len(part)) @ self.rows[at]
+            out[i] = np.fromiter(c.values(), np.float64, len(c)) @ rows[list(map(place.__getitem__, c))]
         return out
 
-    def prepare(self, found: list[str]) -> None:
-        """Scores the words that aren't kept yet, together."""
-        new = [w for w in found if w not in self]
-        for a in range(0, len(new), CACHE // 2):
-            self._add(new[a : a + CACHE // 2])
-
-    def _add(self, new: list[str]) -> None:
-        if len(self) + len(new) > CACHE:
-            self.older, self.half = dict(self), 1 - self.half
-            self.clear()
-        base = self.half * CACHE + len(self)
-        again = [w for w in new if w in self.older]
-        fresh = [w for w in new if w not in self.older]
-        if again:
-            self.rows[base : base + len(again)] = self.rows[[self.older[w] for w in again]]
-        if fresh:
-            self.rows[base + len(again) : base + len(new)] = self.model.log_likelihoods(self.index, fresh)
-        self.update(zip(again + fresh, range(base, base + len(new)), strict=True))
-
-    def _rows(self, part: list[str]) -> list[int]:
-        try:
-            return list(map(self.__getitem__, part))
-        except KeyError:
-            missing = [w for w in part if w not in self]
-            if len(self) + len(missing) > CACHE:  # start anew: all of the part fits
-                self.older = {}
-                self.clear()
-                missing = part
-            self._add(missing)
-            return list(map(self.__getitem__, part))
+    def of_words(self, found: list[str]) -> np.ndarray:
+        out = np.empty((len(found), len(self.model.langs)), np.float32)
+        at = np.fromiter((self.newer.get(w, -1) for w in found), np.int64, len(found))
+        out[at >= 0] = self.rows[at[at >= 0]]
+        new = np.flatnonzero(at < 0)
+        before = np.fromiter((self.older.get(found[i], -1) for i in new), np.int64, len(new))
+        out[new[before >= 0]] = self.rows[before[before >= 0]]
+        fresh = new[before < 0]
+        out[fresh] = self.model.log_likelihoods(self.index, [found[i] for i in fresh])
+        for a in range(0, len(new), CACHE):
+            self._keep(new[a : a + CACHE], found, out)
+        return out
+
+    def _keep(self, new: np.ndarray, found: list[str], values: np.ndarray) -> None:
+        if len(self.newer) + len(new) > CACHE:
+            self.older, self.newer, self.half = self.newer, {}, 1 - self.half
+        start = self.half * CACHE + len(self.newer)
+        self.rows[start : start + len(new)] = values[new]
+        self.newer.update(zip((found[i] for i in new), range(start, start + len(new)), strict=True))
 
 
 _KEPT: dict[str, Scorer] = {}
@@ -215,7 +203,6 @@ def _predictor(sent):
 
     def work(text: pa.Array) -> list[list]:
         counters = [Counter(words(x)) for x in texts(text)]
-        scorer.prepare(list(set().union(*counters)))
         found = scorer.scores(counters)
         letters = np.array([sum(len(w) * n for w, n in c.items()) for c in counters], float)
         found *= np.minimum(1, SURE_LETTERS / np.maximum(letters, 1))[:, None]

@@ -151,9 +151,8 @@ def test_scorer_is_bounded(monkeypatch):
         found = [f"w{chr(97 + (i * 7 + j) % 26)}{'b' * j}" for j in range(12)]
         expected = model.log_likelihoods(model.index, found).sum(axis=0)
         c = Counter(found)
-        scorer.prepare(found)
         assert scorer.scores([c])[0] == pytest.approx(expected, rel=1e-4)
-        assert len(scorer) <= 8
+        assert len(scorer.newer) <= 8 and len(scorer.older) <= 8
 
 
 # Licenses
