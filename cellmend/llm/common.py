@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable, Iterable
 
 import pyarrow as pa
@@ -45,6 +46,23 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """df as a Parquet table in the shared folder, whose size the planner knows."""
+    path = f"{checkpoint_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+def keep_first(df: DataFrame, id_col: str, text_col: str, find: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The row of the smallest id of each group, null ids last; `find` takes a stored table of
+    keys and texts (row, text) and gives the group of each key (row, group)."""
+    names = {c: f"c{i}" for i, c in enumerate(df.columns)}
+    rows = stored(df.toDF(*names.values()).withColumn("row", F.monotonically_increasing_id()))
+    found = find(rows.select("row", F.col(names[text_col]).alias("text"))).join(rows.select("row", F.col(names[id_col]).alias("id")), "row")
+    stay = found.groupBy("group").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("first"))
+    return rows.join(stored(stay.select(F.col("first.row").alias("row"))), "row", "left_semi").drop("row").toDF(*names)
+
+
 def others(df: DataFrame, *names: str) -> list[str]:
     """The columns of df that don't clash, in any case of letters, with new columns `names`."""
     taken = {n.lower() for n in names}
