@@ -15,6 +15,7 @@ block is one more pass over the documents, which are never shuffled.
 Words are maximal runs of digits, letters A-Z and characters beyond ASCII, in lower case; an
 item of fewer than five words is one shingle of its own width. Items and documents without
 words match nothing. Null ids are carried as they are; repeated rows give repeated results.
+Leaks are dropped where they are found, row by row, so ids play no part in it.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cellmend.llm.common import bounded_batches, col, others, texts
+from cellmend.llm.common import bounded_batches, col, texts
 from cellmend.llm.licenses import _WORD, words
 
 WIDTH, CONTAINED = 5, 0.8
@@ -175,7 +176,18 @@ def contained_items(df: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
 
 
 def decontaminate(df: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", width: int = WIDTH, contained: float = CONTAINED) -> DataFrame:
-    """df without the documents that contain an item; those of null id stay."""
-    found = contained_items(df, items, id_col, text_col, item_id_col, item_text_col, width, contained)
-    leaks = found.select(F.col(id_col).alias("__leaks")).distinct()
-    return df.join(leaks, col(id_col) == F.col("__leaks"), "left_anti").select(*(col(c) for c in others(df)))
+    """df without the rows whose text contains an item, whatever their ids."""
+    bounded_batches(df.sparkSession)
+    out, names = df.toDF(*(f"c{i}" for i in range(len(df.columns)))), df.columns
+    at, schema = names.index(text_col), out.schema
+    for block in blocks(items, item_id_col, item_text_col):
+        sent = df.sparkSession.sparkContext.broadcast(block)
+
+        def run(batches, sent=sent):
+            index = Items(sent.value, width, contained)
+            for batch in batches:
+                leaks = {d for d, _, _ in index.find(texts(batch.column(at)))} if index.items else set()
+                yield batch.filter(pa.array([d not in leaks for d in range(batch.num_rows)], pa.bool_()))
+
+        out = out.mapInArrow(run, schema)
+    return out.toDF(*names)

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cellmend.llm.common import append_columns, bounded_batches, checkpointed, col, others, texts
+from cellmend.llm.common import append_columns, bounded_batches, checkpointed, col, keep_first, texts
 from cellmend.llm.components import components
 
 SEED = 42
@@ -179,11 +179,10 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, radius: int = 2) -> DataFrame:
-    """The rows whose id is their component's smallest; rows of null id stay only where their
-    component has no id."""
-    found = near_duplicates(df, id_col, text_col, width, radius)
-    stay = found.where(F.col("component_id").eqNullSafe(F.col(id_col))).select(F.col(id_col).alias("__stays")).distinct()
-    return df.join(stay, col(id_col).eqNullSafe(F.col("__stays")), "left_semi").select(*(col(c) for c in others(df)))
+    """One row of each component: that of the smallest id, a null one only where the component
+    has no other."""
+    find = lambda rows: near_duplicates(rows, "row", "text", width, radius).select("row", F.col("component_id").alias("group"))
+    return keep_first(df, id_col, text_col, find)
 
 
 def hex_fingerprint(fp: str) -> F.Column:

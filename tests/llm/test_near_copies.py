@@ -4,7 +4,7 @@ import pytest
 from llm_rows import ROWS
 
 import corpus_pipeline
-from cellmend.llm import near_copies
+from cellmend.llm import decontam, near_copies, simhash
 
 
 def brute_groups(texts):
@@ -59,3 +59,15 @@ def test_near_copies_of_odd_tables(spark, odd, none):
     assert near_copies.drop_near_copies(none).count() == 0
     left = near_copies.drop_near_copies(odd)
     assert left.columns == odd.columns and sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in left.collect()) == staying(ROWS)
+
+
+def test_rows_of_null_and_repeated_ids(spark):
+    leak, text, other = "one two three four five six", "a text of some words that is here again and again", "nothing like the rest of them in any way"
+    rows = [(None, leak), (1, leak), (1, other), (5, text), (5, text), (None, text), (None, text), (None, "alone without an id"), (None, "alone without an id")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    items = spark.createDataFrame([(0, leak)], "item_id long, text string")
+    clean = decontam.decontaminate(df, items)
+    assert sorted(map(str, clean.collect())) == sorted(map(str, df.where(df["text"] != leak).collect()))
+    expected = sorted([(1, other), (5, text), (-1, "alone without an id")])
+    for drop in (simhash.drop_near_duplicates, near_copies.drop_near_copies):
+        assert sorted((-1 if i is None else i, t) for i, t in drop(clean).collect()) == expected
