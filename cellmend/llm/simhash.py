@@ -36,6 +36,8 @@ TILE = 8192
 #: Parts into which each cut is dealt where it is compared with other tiles' members, so that
 #: units around full tiles aren't much larger than others.
 SPREAD = 4
+#: Full tiles, of a few numbers each, whose cuts are broadcast at most; more are joined.
+MOST_BROADCAST = 2_000
 #: Numbers in a block of the comparison.
 BLOCK = 1 << 20
 
@@ -118,13 +120,15 @@ def links(fps: DataFrame, radius: int = 2) -> DataFrame:
     around = lambda counts: F.transform(F.filter(F.transform(near, lambda d: F.zip_with(counts, d, lambda c, x: c - x)), lambda s: F.forall(s, lambda c: (c >= 0) & (c < base))), coded)
     tiles = fps.select("fp", _signature("fp", lanes).alias("counts")).select("fp", "counts", coded(F.col("counts")).alias("tile"))
     cuts = checkpointed(tiles.groupBy("tile").agg(F.first("counts").alias("counts"), F.ceil(F.count("*") / TILE).cast("int").alias("cuts")).where("cuts > 1"))
-    members = tiles.join(cuts.select("tile", "cuts"), "tile", "left").withColumn("cuts", F.coalesce("cuts", F.lit(1)))
+    # Joins by tile would gather a full tile in one task; what is joined is a row for each full tile.
+    small = F.broadcast if cuts.count() <= MOST_BROADCAST else (lambda x: x)
+    members = tiles.join(small(cuts.select("tile", "cuts")), "tile", "left").withColumn("cuts", F.coalesce("cuts", F.lit(1)))
     dealt = lambda parts: F.pmod(F.xxhash64("fp"), parts).cast("int")
     of_tile = cuts.select(F.col("tile").alias("unit"), F.col("cuts").alias("left_cuts"))
-    right = members.select("fp", dealt(F.col("cuts") * SPREAD).alias("j"), F.explode(around(F.col("counts"))).alias("unit")).join(of_tile, "unit", "left")
+    right = members.select("fp", dealt(F.col("cuts") * SPREAD).alias("j"), F.explode(around(F.col("counts"))).alias("unit")).join(small(of_tile), "unit", "left")
     right = right.select("unit", F.explode(F.sequence(F.lit(0), F.coalesce("left_cuts", F.lit(1)) - 1)).alias("i"), "j", "fp", F.lit(True).alias("right"))
     most = cuts.select(F.explode(around(F.col("counts"))).alias("unit"), "cuts").groupBy("unit").agg(F.max("cuts").alias("right_cuts"))
-    left = members.select("fp", dealt(F.col("cuts")).alias("i"), F.col("tile").alias("unit")).join(most, "unit", "left")
+    left = members.select("fp", dealt(F.col("cuts")).alias("i"), F.col("tile").alias("unit")).join(small(most), "unit", "left")
     left = left.select("unit", "i", F.explode(F.sequence(F.lit(0), F.coalesce("right_cuts", F.lit(1)) * SPREAD - 1)).alias("j"), "fp", F.lit(False).alias("right"))
 
     def compare(unit: pd.DataFrame) -> pd.DataFrame:

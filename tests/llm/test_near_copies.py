@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 from llm_rows import ROWS
 
@@ -43,10 +44,11 @@ def staying(rows):
     return sorted(best.values())
 
 
-@pytest.mark.parametrize("frequent, sample", [(8, 16), (2, 1)])
-def test_near_copies_go(spark, monkeypatch, frequent, sample):
-    monkeypatch.setattr(near_copies, "FREQUENT", frequent)
-    monkeypatch.setattr(near_copies, "SAMPLE", sample)
+@pytest.mark.parametrize("tile, block", [(4096, 1 << 18), (4, 64)])
+def test_near_copies_go(spark, monkeypatch, tile, block):
+    monkeypatch.setattr(near_copies, "TILE", tile)
+    monkeypatch.setattr(near_copies, "BLOCK", block)
+    monkeypatch.setattr(near_copies, "tile_size", lambda n: tile)
     rows = edited()
     df = spark.createDataFrame([(i, t, "en", "src", 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
     left = corpus_pipeline.drop_near_copies(spark, df, "")
@@ -61,6 +63,34 @@ def test_near_copies_of_odd_tables(spark, odd, none):
     assert left.columns == odd.columns and sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in left.collect()) == staying(ROWS)
 
 
+def test_nearest_forest():
+    rand = np.random.default_rng(3)
+    for n, m in ((1, 0), (5, 4), (40, 30), (40, 300)):
+        u, v, d = rand.integers(0, n, m), rand.integers(0, n, m), rand.integers(0, 5, m)
+        label, total = list(range(n)), 0
+        for k in np.argsort(d, kind="stable"):
+            x, y = label[u[k]], label[v[k]]
+            if x != y:
+                total += d[k]
+                label = [x if g == y else g for g in label]
+        kept = near_copies.nearest_forest(n, u, v, d)
+        assert d[kept].sum() == total and len(set(kept.tolist())) == len(kept) == n - len(set(label))
+
+
+def test_recall_of_links_at_the_likeness():
+    """Of pairs of sets of likeness 0.8 to 0.85 nearly all are within the radius; of 0.5 none."""
+    rand = np.random.default_rng(5)
+    near = {0.8: [], 0.5: []}
+    for likeness, found in near.items():
+        for _ in range(300):
+            n = int(rand.integers(20, 400))
+            shared = round(2 * n * likeness / (1 + likeness))
+            h = rand.integers(0, 1 << 63, 2 * n - shared, dtype=np.int64).view(np.uint64) * np.uint64(3)
+            a, b = (np.array(near_copies.wide_fingerprint(x)) for x in (h[:n], h[n - shared :]))
+            found.append(int(np.bitwise_count((a ^ b).view(np.uint64)).sum()) <= near_copies.RADIUS)
+    assert sum(near[0.8]) >= 0.97 * 300 and sum(near[0.5]) <= 0.05 * 300
+
+
 def test_rows_of_null_and_repeated_ids(spark):
     leak, text, other = "one two three four five six", "a text of some words that is here again and again", "nothing like the rest of them in any way"
     rows = [(None, leak), (1, leak), (1, other), (5, text), (5, text), (None, text), (None, text), (None, "alone without an id"), (None, "alone without an id")]

@@ -2,7 +2,8 @@ import hashlib
 import random
 
 from llm_rows import write
-from test_near_duplicates import brute_components, brute_fingerprint, contained, kept_lines
+from test_near_copies import brute_groups
+from test_near_duplicates import contained, kept_lines
 from test_text_scans import LANGS
 from tokenizers import Tokenizer
 
@@ -32,8 +33,9 @@ def test_the_stages(spark, tmp_path):
     found = {r["doc_id"]: r for r in corpus_pipeline.run(spark, sf).collect()}
     told = [(i, t) for i, t, _ in rows if i < 300]
     texts = {i: "\n".join(kept) for i, (_, kept) in kept_lines(told).items()}
-    first = brute_components({i: brute_fingerprint(t) for i, t in texts.items()})
-    texts = {i: t for i, t in texts.items() if first[i] == i}
+    ids = sorted(texts)
+    group = brute_groups([texts[i] for i in ids])
+    texts = {i: texts[i] for k, i in enumerate(ids) if group[k] == k}
     leaks = {int(i) for i, *_ in contained(sorted(texts.items()), items)}
     texts = {i: t for i, t in texts.items() if i not in leaks}
     assert set(found) == set(texts) and leaks
