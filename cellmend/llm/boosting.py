@@ -17,11 +17,11 @@ from pyspark.sql import functions as F
 
 @dataclass
 class Cell:
-    """Rows that share a feature vector."""
+    """Rows that share a feature vector; n may hold rows by weight."""
 
     features: tuple[int, ...]
-    n: int
-    positive: int
+    n: float
+    positive: float
 
 
 @dataclass
@@ -92,21 +92,26 @@ class Boosted:
         return sum((t.sql(feature) for t in self.trees), F.lit(self.base))
 
     def calibrate(self, cells: list[Cell], precision: float) -> None:
-        """Sets the lowest threshold at and above which `precision` of these rows are positive."""
-        self.threshold, n, positive = math.inf, 0, 0
+        """Sets the lowest threshold at and above which `precision` of these rows, and of a negative
+        one more, are positive; none below even odds, whatever stands above it."""
+        self.threshold, n, positive = math.inf, 1.0, 0.0
         scored = sorted(((self(c.features), c) for c in cells), key=lambda x: -x[0])
         for k, (score, c) in enumerate(scored):
+            if score < 0:
+                break
             n, positive = n + c.n, positive + c.positive
             if (k + 1 == len(scored) or scored[k + 1][0] < score) and positive >= precision * n:
                 self.threshold = score
 
 
 def boost(cells: list[Cell], rounds: int = 20, depth: int = 3, rate: float = 0.3, least: float = 1.0) -> Boosted | None:
-    """None unless both classes occur."""
+    """None of no rows or no positive one; where all are positive, no trees are grown."""
     n, positive = sum(c.n for c in cells), sum(c.positive for c in cells)
-    if not 0 < positive < n:
+    if not positive > 0:
         return None
-    model = Boosted(math.log(positive / (n - positive)), [])
+    model = Boosted(math.log((positive + 0.5) / (n - positive + 0.5)), [])
+    if positive >= n:
+        return model
     score = {c.features: model.base for c in cells}
     for _ in range(rounds):
         parts = []

@@ -25,10 +25,10 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document's personal data: the base kinds' counts and all spans."""
+    """Every document's personal data and secrets: the base kinds' counts and all spans."""
     found = pii.find_pii(documents(spark, sf_dir).select("doc_id", "text"))
     counts = [pii.count_kind("base", k).alias(f"n_{k}") for k in pii.KINDS]
-    return found.select("doc_id", *counts, F.sha2(pii.joined(F.col("base")).cast("binary"), 256).alias("base_sha256"), pii.joined(F.array_sort(F.concat("base", "added"))).alias("spans"))
+    return found.select("doc_id", *counts, F.sha2(pii.joined(F.col("base")).cast("binary"), 256).alias("base_sha256"), pii.joined(F.array_sort(F.concat("base", "added"))).alias("spans"), pii.count_kind("added", "secret").alias("n_secret"), F.size("added").cast("long").alias("n_added"), (F.size("base") + F.size("added")).cast("long").alias("n_spans"))
 
 
 def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:

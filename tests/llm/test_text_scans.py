@@ -62,14 +62,49 @@ def test_op2(spark, tmp_path):
         assert set(filter(None, text.split(","))) <= set(r["spans"].split(","))
 
 
-def test_the_trees_add_what_looks_alike(spark):
-    base = [(i, f"please pay by card 4111111111111111 at {i}") for i in range(300)]
-    base += [(1000 + i, f"in the year {1000 + i} 10 01 12 it was {i}") for i in range(300)]
-    df = spark.createDataFrame([*base, (900, "please pay by card 4111111111111112 at noon"), (901, "in the year 2024 10 01 12 it was 7"), (902, None)], "doc_id long, text string")
-    found = {r["doc_id"]: r["added"] for r in pii.find_pii(df).collect()}
-    assert [(x["s"], x["e"]) for x in found[900]] == [(19, 35)] and not found[901] and not found[0]
+def pii_corpus():
+    """Texts with cards, phones, addresses and secrets, and as many with numbers and long words only."""
+    rand = random.Random(12)
+    rows = []
+    for i in range(400):
+        card = "".join(rand.choices("0123456789", k=15))
+        card += next(c for c in "0123456789" if luhn(card + c))
+        card = card if i % 2 else " ".join(card[k : k + 4] for k in range(0, 16, 4))
+        phone, ip = f"+1 ({rand.randrange(200, 999)}) 555-{rand.randrange(1000, 9999)}", ".".join(str(rand.randrange(256)) for _ in range(4))
+        token = "".join(rand.choices("0123456789abcdef", k=40))
+        rows.append((i, rand.choice([f"{rand.choice(['please pay by card', 'it is', 'pay', 'with'])} {card}{rand.choice([', thanks', ' now', ' or so'])}", f"call {phone} now", f"the host {ip} is up", f"mail x{i}.{i}@mail{i}.example.com please", f'set token = "{token}" here'])))
+    for i in range(400, 700):
+        rows.append((i, rand.choice([f"in the year {1000 + i} 10 01 12 it was {i}", f"Donaudampfschifffahrtsgesellschaft {i} and characteristically", "rows " + " ".join(str(rand.randrange(10**5)) for _ in range(9)), "nothing of the kind"])))
+    return rows
+
+
+def test_the_trees_add_what_the_base_patterns_miss(spark):
+    rows = pii_corpus()
+    token = "0a1b2c3d4e5f60718293a4b5c6d7e8f901234567"
+    planted = {
+        900: ("ref 2024 4111 1111 1111 1111 ok", "4111 1111 1111 1111", "card"), 901: ("pay 4111111111111111 4012888888881881 now", "4111111111111111", "card"),
+        902: ("call +1 (826) 555-4081 190.137.223.204 now", "+1 (826) 555-4081", "phone"), 903: (f'set TOKEN = "{token}" here', token, "secret"),
+        904: (f"the value {token} is alone", token, "secret"), 905: ('set token = "hunter2" here', "hunter2", "secret"),
+    }
+    df = spark.createDataFrame([*rows, *((i, t) for i, (t, _, _) in planted.items()), (950, "in the year 2024 10 01 12 it was 7"), (951, None), (952, "ref 2024 4111 1111 1111 1112 ok")], "doc_id long, text string")
+    found = {r["doc_id"]: r for r in pii.find_pii(df).collect()}
+    for i, (text, span, kind) in planted.items():
+        assert (text.index(span), text.index(span) + len(span), kind) in [(x["s"], x["e"], pii.ALL_KINDS[x["k"]]) for x in found[i]["added"]], (i, found[i])
+    assert not any(found[i]["added"] for i in (950, 951, 952))
+    # Recall of what was planted in the corpus, and no span in the clean half.
+    private = [i for i, t in rows if i < 400]
+    assert sum(bool(found[i]["base"] or found[i]["added"]) for i in private) >= 0.98 * len(private)
+    assert not any(found[i]["added"] for i in range(400, 700))
     redacted = {r["doc_id"]: r["redacted"] for r in pii.redact(df).collect()}
-    assert redacted[900] == "please pay by card [number] at noon" and redacted[0] == "please pay by card [card] at 0" and redacted[902] == ""
+    assert redacted[900] == "ref 2024 [card] ok" and redacted[902] == "call [phone] [ip] now" and redacted[905] == 'set token = "[secret]" here' and redacted[951] == ""
+
+
+def test_proposals_overlap(spark):
+    df = spark.createDataFrame([(1, "ref 2024 4111 1111 1111 1112 or (826) 555-4081"), (2, "x (at) y.org, a@b.c, " + "7 " * 3000), (3, "secret_key: 'abc123def456ghi7'")], "doc_id long, text string")
+    found = {r["id"]: [(x["s"], x["e"]) for x in r["proposed"]] for r in pii.found_spans(df, "doc_id", "text").collect()}
+    assert (4, 28) not in found[1] and {(4, 23), (9, 28), (32, 46)} <= set(found[1])
+    assert (0, 12) in found[2] and len(found[2]) < 10 * 3000
+    assert (13, 29) in found[3]
 
 
 def test_empty_pii(spark, none, odd):
@@ -82,7 +117,12 @@ def test_boosting_separates():
     model = boosting.boost(cells)
     model.calibrate(cells, 0.85)
     assert all((model(c.features) >= model.threshold) == (c.positive == 9) for c in cells)
-    assert boosting.boost([boosting.Cell((0,), 5, 0)]) is None
+    assert boosting.boost([boosting.Cell((0,), 5, 0)]) is None and boosting.boost([]) is None
+    sure = boosting.boost([boosting.Cell((0,), 9, 9)])
+    sure.calibrate([boosting.Cell((0,), 9, 9)], 0.8)
+    assert sure((0,)) >= sure.threshold
+    sure.calibrate([boosting.Cell((0,), 3, 3)], 0.8)
+    assert sure.threshold == math.inf
 
 
 # Language
