@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable
@@ -32,11 +33,14 @@ def bounded_batches(spark: SparkSession) -> None:
 def checkpoint_folder(spark: SparkSession) -> str:
     """The shared folder of `spark.checkpoint.dir`.
 
-    Only where the session names none (tests on one machine) a temporary one is set.
+    Only where the session names none and runs on one machine a temporary one is set.
     """
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp("checkpoints"))
+        named = context.getConf().get("spark.checkpoint.dir", None)
+        if not named and not re.match(r"local(\[|$)", context.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp("checkpoints"))
     return context.getCheckpointDir()
 
 
@@ -60,7 +64,8 @@ def keep_first(df: DataFrame, id_col: str, text_col: str, find: Callable[[DataFr
     rows = stored(df.toDF(*names.values()).withColumn("row", F.monotonically_increasing_id()))
     found = find(rows.select("row", F.col(names[text_col]).alias("text"))).join(rows.select("row", F.col(names[id_col]).alias("id")), "row")
     stay = found.groupBy("group").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("first"))
-    return rows.join(stored(stay.select(F.col("first.row").alias("row"))), "row", "left_semi").drop("row").toDF(*names)
+    gone = rows.select("row").join(stay.select(F.col("first.row").alias("row")), "row", "left_anti")  # fewer than those that stay
+    return rows.join(stored(gone), "row", "left_anti").drop("row").toDF(*names)
 
 
 def others(df: DataFrame, *names: str) -> list[str]:

@@ -63,7 +63,9 @@ def test_near_copies_of_odd_tables(spark, odd, none):
     assert left.columns == odd.columns and sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in left.collect()) == staying(ROWS)
 
 
-def test_nearest_forest():
+@pytest.mark.parametrize("block", [1 << 18, 3])
+def test_nearest_forest(monkeypatch, block):
+    monkeypatch.setattr(near_copies, "BLOCK", block)
     rand = np.random.default_rng(3)
     for n, m in ((1, 0), (5, 4), (40, 30), (40, 300)):
         u, v, d = rand.integers(0, n, m), rand.integers(0, n, m), rand.integers(0, 5, m)
@@ -75,6 +77,12 @@ def test_nearest_forest():
                 label = [x if g == y else g for g in label]
         kept = near_copies.nearest_forest(n, u, v, d)
         assert d[kept].sum() == total and len(set(kept.tolist())) == len(kept) == n - len(set(label))
+        nearest = near_copies.Nearest(n)
+        for a in range(0, m, 7):
+            nearest.add(u[a : a + 7], v[a : a + 7], d[a : a + 7])
+        at_once = [sorted(d[x].tolist()) for x in near_copies.nearest_forests(n, u, v, d)]
+        of = {k: sorted(nearest.links[2, x].tolist()) for k, x in enumerate(near_copies.nearest_forests(n, *nearest.links))}
+        assert [of[k] for k in range(near_copies.FORESTS)] == at_once
 
 
 def test_recall_of_links_at_the_likeness():
