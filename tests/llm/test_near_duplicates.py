@@ -60,6 +60,13 @@ def test_lines_of_odd_tables(spark, odd, none):
     assert done.count() == len(ROWS) and set(done.columns) == {"doc_id", "text", "Score", "a.b", "ids", "n_lines", "n_dropped"}
 
 
+def test_lines_of_text_ids(spark):
+    line = "A line of more than twenty letters"
+    df = spark.createDataFrame([("b", line), ("x-1", line), ("a", line), ("x-0", "other\n" + line), (None, line)], "doc_id string, text string")
+    done = {r["doc_id"]: (r["kept"], r["n_dropped"]) for r in line_dedup.drop_shared_lines(df).collect()}
+    assert done == {"b": ("", 1), "x-1": (line, 0), "a": ("", 1), "x-0": ("other", 1), None: ("", 1)}
+
+
 def test_perfect_hash():
     rand = np.random.default_rng(0)
     for n in (0, 1, 2, 1000, 20000):
@@ -181,9 +188,11 @@ def contained(rows, items):
     return sorted(out)
 
 
-@pytest.mark.parametrize("block", [16 << 20, 60])
-def test_op7(spark, tmp_path, monkeypatch, block):
+@pytest.mark.parametrize("block, pass_, waiting", [(16 << 20, 1 << 30, 32 << 20), (60, 1 << 30, 32 << 20), (60, 300, 100)])
+def test_op7(spark, tmp_path, monkeypatch, block, pass_, waiting):
     monkeypatch.setattr(decontam, "BLOCK_BYTES", block)
+    monkeypatch.setattr(decontam, "PASS_BYTES", pass_)
+    monkeypatch.setattr(decontam, "WAITING_BYTES", waiting)
     rand = random.Random(7)
     items = [(j, " ".join(f"w{rand.randrange(40)}" for _ in range(rand.randint(1, 30)))) for j in range(20)] + [(90, ROWS[6][1].upper()), (91, None), (92, "!!"), (93, "word"), (94, "Lazy, dog!"), (95, items_text := "word word word word word end")]
     rows = list(ROWS)
@@ -201,6 +210,27 @@ def test_op7(spark, tmp_path, monkeypatch, block):
     assert items_text and found.count() > 20
 
 
+def test_many_items_in_long_texts(spark, monkeypatch):
+    """100,000 items in several blocks: the short ones that stand in long texts are found, edited ones too."""
+    monkeypatch.setattr(decontam, "BLOCK_BYTES", 4 << 20)
+    rand = random.Random(11)
+    sizes = [1, 2, 5, 6, 9, 12, 17, 33, 64, 130]
+    items = [(j, " ".join(f"v{rand.randrange(10**6)}" for _ in range(sizes[j % 10]))) for j in range(100_000)]
+    rows, planted = [], set()
+    for i in range(60):
+        j = rand.randrange(100_000)
+        x = items[j][1].split()
+        if len(x) > 60:
+            x[rand.randrange(len(x))] = "edited"
+        noise = [f"n{rand.randrange(10**6)}" for _ in range(rand.choice([0, 40, 20_000]))]
+        at = rand.randint(0, len(noise))
+        rows.append((i, " ".join([*noise[:at], *x, *noise[at:]])))
+        planted.add((i, j))
+    found = decontam.contained_items(spark.createDataFrame(rows, "doc_id long, text string").repartition(2), spark.createDataFrame(items, "item_id long, text string"))
+    own = {(r["doc_id"], r["item_id"]) for r in found.collect()}
+    assert planted <= own and all(set(items[j][1].split()) <= set(rows[i][1].split()) for i, j in own - planted)
+
+
 def test_leaks_go(spark, odd, none):
     items = spark.createDataFrame([(1, "quick brown fox jumps over the lazy dog")], "item_id long, text string")
     left = decontam.decontaminate(odd, items)
