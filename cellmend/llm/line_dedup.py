@@ -1,17 +1,22 @@
 """Operator 5: drop lines that many documents share, by a sharded minimal perfect hash.
 
-Each document gives its distinct line keys as 128-bit hashes. They are counted with map-side
-combining, and the distinct hashes that enough documents hold are sharded. A shard becomes
-one row: a minimal perfect hash (cascaded bit arrays, a key's slot being the rank of its bit)
-that indexes compact arrays of fingerprints, counts and largest ids. Documents' hashes probe
-the arrays shard by shard; a fingerprint tells members from others. A shard that many
-probes meet is copied and its probes dealt over the copies, so no line, however common,
-gathers in one task. Texts are never shuffled by line.
+Each document gives its distinct line keys as 128-bit hashes; texts are never shuffled by
+line. All distinct hashes are sharded, and a shard becomes one row: a minimal perfect hash
+(cascaded bit arrays, a key's slot being the rank of its bit) and a compact array of
+fingerprints. Documents' hashes are dealt to the shards and probe them twice. The first time
+they are counted: each copy of a shard adds up its own probes by slot, and the sums, a few
+numbers for each slot that was met, make the shard's arrays of counts and largest ids. The
+second time they probe these arrays: a fingerprint tells members from others, a count tells
+what is shared, and the largest id tells who keeps it.
+
+A shard that many probes meet is copied and its probes dealt over the copies by document, so
+no line, however common, gathers in one task, and a copy's sums hold a common line once.
 
 A key that qualifies stays only in the largest id that holds it. Null or empty text is one
 empty line. A null id counts as one document, smaller than all others; rows of the same id
-as one document. Keys shorter than `min_chars` are left alone. Extra columns are kept; those
-named like the new ones are replaced.
+as one document. Ids are of any type that has an order; those that aren't integers are
+numbered in it first. Keys shorter than `min_chars` are left alone. Extra columns are kept;
+those named like the new ones are replaced.
 """
 
 from __future__ import annotations
@@ -121,54 +126,91 @@ def line_hashes(df: DataFrame, id_col: str, text_col: str, min_chars: int) -> Da
     return source.mapInArrow(run, T.StructType([T.StructField("id", kind), T.StructField("h1", T.LongType()), T.StructField("h2", T.LongType())]))
 
 
-def build_shards(counts: DataFrame, shards: int) -> DataFrame:
-    """A row for each shard of (h1, h2, n, largest): its perfect hash and arrays."""
+def build_shards(hashes: DataFrame, shards: int) -> DataFrame:
+    """A row for each shard of the distinct (h1, h2): its perfect hash and fingerprints."""
 
     def build(rows: pd.DataFrame) -> pd.DataFrame:
         h1, h2 = _unsigned(rows["h1"]), _unsigned(rows["h2"])
         index = PerfectHash.build(h1, h2)
-        order = np.argsort(index.slots(h1, h2))
-        arrays = {"prints": h2[order], "counts": rows["n"].to_numpy(np.int64)[order], "largest": rows["largest"].to_numpy(np.int64)[order]}
-        return pd.DataFrame({"shard": [rows["shard"].iloc[0]], "levels": [index.to_bytes()], **{k: [v.tobytes()] for k, v in arrays.items()}})
+        prints = np.empty(len(h2), np.uint64)
+        prints[index.slots(h1, h2)] = h2
+        return pd.DataFrame({"shard": [rows["shard"].iloc[0]], "levels": [index.to_bytes()], "prints": [prints.tobytes()]})
 
-    sharded = counts.withColumn("shard", F.pmod("h1", F.lit(shards)).cast("int"))
-    return sharded.groupBy("shard").applyInPandas(build, "shard int, levels array<binary>, prints binary, counts binary, largest binary")
+    sharded = hashes.withColumn("shard", F.pmod("h1", F.lit(shards)).cast("int"))
+    return sharded.groupBy("shard").applyInPandas(build, "shard int, levels array<binary>, prints binary")
 
 
-def shared_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 20, min_docs: int = 3) -> DataFrame:
-    """(id, lost array<binary>): the hashes of the keys that each document loses.
+def _probed(rows: pd.DataFrame, shard: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Which rows' hashes are in the shard, and the slots of these."""
+    row = shard.iloc[0]
+    prints, h1, h2 = np.frombuffer(row["prints"], np.uint64), _unsigned(rows["h1"]), _unsigned(rows["h2"])
+    slots = PerfectHash.from_bytes(row["levels"]).slots(h1, h2)
+    member = (slots >= 0) & (prints[np.maximum(slots, 0)] == h2)
+    return member, slots[member]
 
-    The id column holds longs.
-    """
-    lines = checkpointed(line_hashes(df, id_col, text_col, min_chars))
-    counts = lines.distinct().groupBy("h1", "h2").agg(F.count("*").alias("n"), F.max("id").alias("largest"))
-    counts = checkpointed(counts.where(F.col("n") >= min_docs))
-    shards = 1 + max(counts.count() // SHARD_KEYS, lines.count() // SHARD_PROBES)
-    arrays = build_shards(counts, shards)
+
+def _count(rows: pd.DataFrame, shard: pd.DataFrame) -> pd.DataFrame:
+    """One row of the slots that a copy's probes meet, their documents and the largest id of each."""
+    if not len(shard) or not len(rows):
+        return pd.DataFrame({"shard": pd.array([], "Int32"), **{k: pd.array([], object) for k in ("slots", "counts", "largest")}})
+    member, slots = _probed(rows, shard)
+    met = pd.DataFrame({"slot": slots, "id": rows["id"].to_numpy(np.int64)[member]}).drop_duplicates()
+    by = met.groupby("slot")["id"].agg(["size", "max"])
+    return pd.DataFrame({"shard": [shard["shard"].iloc[0]], "slots": [by.index.to_numpy(np.int64).tobytes()], "counts": [by["size"].to_numpy(np.int64).tobytes()], "largest": [by["max"].to_numpy(np.int64).tobytes()]})
+
+
+def _add_up(parts: pd.DataFrame) -> pd.DataFrame:
+    """A shard's arrays of counts and largest ids, over its slots, from its copies' sums."""
+    slots, n, largest = (np.concatenate([np.frombuffer(x, np.int64) for x in parts[k]]) for k in ("slots", "counts", "largest"))
+    size = int(slots.max()) + 1 if len(slots) else 0
+    counts, most = np.zeros(size, np.int64), np.full(size, np.iinfo(np.int64).min)
+    np.add.at(counts, slots, n)
+    np.maximum.at(most, slots, largest)
+    return pd.DataFrame({"shard": [parts["shard"].iloc[0]], "counts": [counts.tobytes()], "largest": [most.tobytes()]})
+
+
+def _numbered(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """df's texts with a number for each id, in the ids' order: an integer itself, the least one for null."""
+    id_, least = col(id_col), F.lit(np.iinfo(np.int64).min)
+    if df.schema[id_col].dataType.typeName() in ("long", "integer", "short", "byte"):
+        return df.select(F.coalesce(id_.cast("long"), least).alias("id"), col(text_col).alias("text"))
+    order = checkpointed(df.select(id_.alias("own")).where("own is not null").distinct().orderBy("own").withColumn("number", F.monotonically_increasing_id()))
+    joined = df.select(id_.alias("own"), col(text_col).alias("text")).join(order, "own", "left")
+    return joined.select(F.coalesce("number", least).alias("id"), "text", "own")
+
+
+def shared_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 20, min_docs: int = 3) -> DataFrame:
+    """(id, lost array<binary>): the hashes of the keys that each document loses."""
+    numbered = _numbered(df, id_col, text_col)
+    lines = checkpointed(line_hashes(numbered, "id", "text", min_chars))
+    distinct = checkpointed(lines.select("h1", "h2").distinct())
+    shards = 1 + max(distinct.count() // SHARD_KEYS, lines.count() // SHARD_PROBES)
+    index = checkpointed(build_shards(distinct, shards))
     probes = lines.withColumn("shard", F.pmod("h1", F.lit(shards)).cast("int"))
     # A shard meets about SHARD_PROBES; those that a common line makes hot are few.
     loads = probes.groupBy("shard").agg(F.ceil(F.count("*") / SHARD_PROBES).cast("int").alias("copies"))
     hot = checkpointed(loads.where("copies > 2"))
     small = hot.count() <= MOST_BROADCAST
     copies = lambda x: x.join(F.broadcast(hot) if small else hot, "shard", "left").withColumn("copies", F.coalesce("copies", F.lit(1)))
-    dealt = copies(probes).withColumn("copy", F.pmod(F.xxhash64("id", "h2"), F.col("copies")).cast("int")).select("shard", "copy", "id", "h1", "h2")
-    copied = copies(arrays).withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1))).drop("copies")
-    out = "id long, hash binary"
+    dealt = copies(probes).withColumn("copy", F.pmod(F.xxhash64("id"), F.col("copies")).cast("int")).select("shard", "copy", "id", "h1", "h2").groupBy("shard", "copy")
+    copied = lambda x: copies(x).withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1))).drop("copies").groupBy("shard", "copy")
+    sums = dealt.cogroup(copied(index)).applyInPandas(_count, "shard int, slots binary, counts binary, largest binary")
+    arrays = checkpointed(sums.groupBy("shard").applyInPandas(_add_up, "shard int, counts binary, largest binary"))
 
-    def probe(hashes: pd.DataFrame, shard: pd.DataFrame) -> pd.DataFrame:
-        if not len(shard) or not len(hashes):
+    def probe(rows: pd.DataFrame, shard: pd.DataFrame) -> pd.DataFrame:
+        if not len(shard) or not len(rows):
             return pd.DataFrame({"id": pd.array([], "Int64"), "hash": pd.array([], object)})
-        row = shard.iloc[0]
-        prints, counted, largest = (np.frombuffer(row[k], t) for k, t in (("prints", np.uint64), ("counts", np.int64), ("largest", np.int64)))
-        h1, h2 = _unsigned(hashes["h1"]), _unsigned(hashes["h2"])
-        slots = PerfectHash.from_bytes(row["levels"]).slots(h1, h2)
-        ids, at = hashes["id"].astype("Int64"), np.maximum(slots, 0)
-        lost = (slots >= 0) & (prints[at] == h2) & (counted[at] >= min_docs) & (ids.isna().to_numpy() | (ids.fillna(0).to_numpy(np.int64) != largest[at]))
-        pairs = np.stack([h1[lost], h2[lost]], axis=1)
-        return pd.DataFrame({"id": ids[lost].array, "hash": [p.tobytes() for p in pairs]})
-
-    lost = dealt.groupBy("shard", "copy").cogroup(copied.groupBy("shard", "copy")).applyInPandas(probe, out)
-    return lost.groupBy("id").agg(F.collect_set("hash").alias("lost"))
+        member, slots = _probed(rows, shard)
+        counts, largest = (np.frombuffer(shard[k].iloc[0], np.int64)[slots] for k in ("counts", "largest"))
+        rows = rows[member]
+        lost = (counts >= min_docs) & (rows["id"].to_numpy(np.int64) != largest)
+        pairs = np.stack([_unsigned(rows["h1"])[lost], _unsigned(rows["h2"])[lost]], axis=1)
+        return pd.DataFrame({"id": rows["id"].to_numpy(np.int64)[lost], "hash": [p.tobytes() for p in pairs]})
+
+    lost = dealt.cogroup(copied(index.join(arrays, "shard"))).applyInPandas(probe, "id long, hash binary").groupBy("id").agg(F.collect_set("hash").alias("lost"))
+    if "own" in numbered.columns:
+        return numbered.select("id", "own").distinct().join(lost, "id").select(F.col("own").alias("id"), "lost")
+    return lost.select(F.when(F.col("id") != np.iinfo(np.int64).min, F.col("id")).alias("id"), "lost")
 
 
 def _dropper(min_chars: int):
