@@ -3,8 +3,11 @@
 A sketch keeps every shingle hash below a fixed fraction of the hash range, so its size
 follows the document's, sketches of parts merge by union, and containment between very
 unequal documents can be estimated. Shingles are five words, hashed without building their
-strings. Where no hash is below the fraction, the smallest one is kept, so that short texts
-aren't all alike; merging drops it again beside others below the fraction.
+strings. Texts with fewer than `LEAST` hashes below the fraction keep their `LEAST` smallest
+ones, so short texts are kept whole. A sketch therefore holds all hashes up to a bound that it
+tells itself: none if it is smaller than `LEAST` (the text is whole), else its largest hash or
+the fraction's end, whichever is more. Two sketches are compared up to the lesser bound, so a
+short text is looked for in a long one among the hashes that the long one has kept.
 
 The next document in the order of ids comes by a window in each of many id ranges. Ranges
 start at approximate quantiles, which are ids themselves; a range's first rows are copied
@@ -27,8 +30,9 @@ from pyspark.sql import functions as F
 from cellmend.llm.common import col, others
 
 WIDTH = 5
-#: The kept part of the hash range is 1 / 2**SCALE_BITS.
-SCALE_BITS = 4
+#: The kept part of the hash range is 1 / 2**SCALE_BITS; LEAST hashes are kept of any text.
+SCALE_BITS, LEAST = 2, 64
+_FIRST_BIT = -(1 << 63)
 #: Rows of an id range, and the most ranges: their starts are kept on the driver.
 RANGE_ROWS, MOST_RANGES = 1000, 10_000
 
@@ -37,50 +41,67 @@ def _words(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), "[\\x20\\x09-\\x0D]+", -1), lambda w: w != "")
 
 
-def below(h: Column, scale_bits: int = SCALE_BITS) -> Column:
-    """Whether the hash, taken as unsigned, is in the kept part of the range."""
-    return F.shiftrightunsigned(h, 64 - scale_bits) == 0
+def _ordered(hashes: Column) -> Column:
+    """Hashes in the order of unsigned numbers, as signed ones whose first bit is flipped."""
+    return F.array_sort(F.transform(hashes, lambda h: h.bitwiseXOR(F.lit(_FIRST_BIT))))
 
 
-def add_sketch(df: DataFrame, text_col: str = "text", out: str = "sketch", width: int = WIDTH, scale_bits: int = SCALE_BITS) -> DataFrame:
+def _kept(ordered: Column, scale_bits: int, least: int) -> Column:
+    """Of ascending hashes: those below the fraction, or the smallest ones."""
+    end = F.lit(_FIRST_BIT + (1 << (64 - scale_bits)) - 1)
+    below = F.filter(ordered, lambda h: h <= end)
+    return F.when(F.size(below) >= least, below).otherwise(F.slice(ordered, 1, least))
+
+
+def add_sketch(df: DataFrame, text_col: str = "text", out: str = "sketch", width: int = WIDTH, scale_bits: int = SCALE_BITS, least: int = LEAST) -> DataFrame:
     """df with the ascending array of the kept hashes of its texts."""
     made = uuid.uuid4().hex[:8]
-    words, hashes, kept = (f"__{x}_{made}" for x in ("words", "hashes", "kept"))
+    words, hashes = (f"__{x}_{made}" for x in ("words", "hashes"))
     w = F.col(words)
     shingles = F.transform(F.sequence(F.lit(0), F.size(w) - width), lambda i: F.xxhash64(*(F.get(w, i + k) for k in range(width))))
     whole = F.when(F.size(w) > 0, F.array(F.xxhash64(F.array_join(w, " ")))).otherwise(F.array().cast("array<bigint>"))
-    at = F.col(hashes)
-    fallback = F.when(F.size(at) > 0, F.array(F.array_min(at))).otherwise(at)
     return (
         df.withColumn(words, _words(F.coalesce(col(text_col), F.lit(""))))
-        .withColumn(hashes, F.when(F.size(w) >= width, shingles).otherwise(whole))
-        .withColumn(kept, F.filter(at, lambda h: below(h, scale_bits)))
-        .withColumn(out, F.when(F.size(kept) > 0, F.array_sort(F.array_distinct(kept))).otherwise(fallback))
-        .drop(words, hashes, kept)
+        .withColumn(hashes, _ordered(F.array_distinct(F.when(F.size(w) >= width, shingles).otherwise(whole))))
+        .withColumn(out, _kept(F.col(hashes), scale_bits, least))
+        .drop(words, hashes)
     )
 
 
-def merged(a: Column, b: Column, scale_bits: int = SCALE_BITS) -> Column:
+def merged(a: Column, b: Column, scale_bits: int = SCALE_BITS, least: int = LEAST) -> Column:
     """The sketch of two texts' shingles together."""
-    both = F.array_union(a, b)
-    kept = F.filter(both, lambda h: below(h, scale_bits))
-    return F.when(F.size(kept) > 0, F.array_sort(kept)).otherwise(F.slice(F.array_sort(both), 1, 1))
+    return _kept(F.array_sort(F.array_union(a, b)), scale_bits, least)
+
+
+def _bound(sketch: Column, scale_bits: int, least: int) -> Column:
+    """Up to where a sketch holds all hashes of its text."""
+    end = F.lit(_FIRST_BIT + (1 << (64 - scale_bits)) - 1)
+    return F.when(F.size(sketch) < least, F.lit((1 << 63) - 1)).otherwise(F.greatest(F.element_at(sketch, -1), end))
+
+
+def _compared(a: Column, b: Column, scale_bits: int, least: int) -> tuple[Column, Column, Column]:
+    """How many hashes a and b have up to the lesser bound, and how many they share."""
+    bound = F.least(_bound(a, scale_bits, least), _bound(b, scale_bits, least))
+    upto = lambda x: F.size(F.filter(x, lambda h: h <= bound))
+    return upto(a), upto(b), F.size(F.array_intersect(a, b))
 
 
-def containment(a: Column, b: Column) -> Column:
-    """The estimated part of a's shingles that b has."""
-    return F.when(F.size(a) > 0, F.size(F.array_intersect(a, b)) / F.size(a)).otherwise(F.lit(1.0))
+def containment(a: Column, b: Column, scale_bits: int = SCALE_BITS, least: int = LEAST) -> Column:
+    """The estimated part of a's shingles that b has; 1 where a has none, 0 where only b has none,
+    null where b has kept none of the part in which a's are."""
+    n, _, shared = _compared(a, b, scale_bits, least)
+    return F.when(F.size(a) == 0, 1.0).when(F.size(b) == 0, 0.0).when(n > 0, shared / n)
 
 
-def likeness(a: Column, b: Column) -> Column:
-    """The estimated Jaccard likeness of the shingles."""
-    shared = F.size(F.array_intersect(a, b))
-    return F.when(F.size(a) + F.size(b) > 0, shared / (F.size(a) + F.size(b) - shared)).otherwise(F.lit(1.0))
+def likeness(a: Column, b: Column, scale_bits: int = SCALE_BITS, least: int = LEAST) -> Column:
+    """The estimated Jaccard likeness of the shingles; 1 of two empty sketches."""
+    n, m, shared = _compared(a, b, scale_bits, least)
+    return F.when(n + m - shared > 0, shared / (n + m - shared)).otherwise(F.when((F.size(a) == 0) & (F.size(b) == 0), 1.0).otherwise(0.0))
 
 
 def text_form(sketch: Column) -> Column:
     """16 hexadecimal digits for each hash."""
-    return F.lower(F.array_join(F.transform(sketch, lambda h: F.lpad(F.hex(h), 16, "0")), ""))
+    return F.lower(F.array_join(F.transform(sketch, lambda h: F.lpad(F.hex(h.bitwiseXOR(F.lit(_FIRST_BIT))), 16, "0")), ""))
 
 
 def _ranges(df: DataFrame, id_col: str) -> list[int]:

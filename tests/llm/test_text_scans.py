@@ -248,6 +248,48 @@ def test_spans_of_licenses(spark, none, odd):
 # Sketches
 
 
+def shingle_set(text):
+    found = text.encode().lower().split()
+    return {tuple(found[k : k + 5]) for k in range(max(1, len(found) - 4))} if found else set()
+
+
+def jaccard(a, b):
+    a, b = shingle_set(a), shingle_set(b)
+    return len(a & b) / len(a | b) if a or b else 1.0
+
+
+def test_likeness_of_real_texts(spark):
+    """Against exact Jaccard, on whole documents: short texts lose nothing, long ones little."""
+    from pyspark.sql import functions as F
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    done = sketch.compare_with_edits(docs).select("doc_id", "edited", sketch.likeness(F.col("sketch"), F.col("edited_sketch")).alias("near"))
+    by_id, wrong = {r["doc_id"]: r["text"] or "" for r in docs.collect()}, []
+    for r in done.collect():
+        true = jaccard(by_id[r["doc_id"]], r["edited"])
+        assert not (true >= 0.3 and r["near"] == 0)
+        wrong.append(abs(true - r["near"]))
+    assert sum(wrong) / len(wrong) < 0.03 and max(wrong) < 0.2
+
+
+def test_short_text_in_a_long_one(spark):
+    from pyspark.sql import functions as F
+
+    rand = random.Random(8)
+    rows = []
+    for n in (5, 6, 10, 20, 60, 200):
+        for _ in range(40):
+            long = [f"w{rand.randrange(10**6)}" for _ in range(4000)]
+            at = rand.randrange(3000)
+            rows.append((n, " ".join(long[at : at + n]), " ".join(f"x{w}" for w in long[at : at + n]), " ".join(long)))
+    df = spark.createDataFrame(rows, "n int, short string, other string, long string")
+    for name in ("short", "other", "long"):
+        df = sketch.add_sketch(df, name, f"s_{name}")
+    found = df.groupBy("n").agg(F.min(sketch.containment(F.col("s_short"), F.col("s_long"))).alias("least"), F.max(sketch.containment(F.col("s_other"), F.col("s_long"))).alias("most"), F.count(sketch.containment(F.col("s_short"), F.col("s_long"))).alias("told")).collect()
+    assert all((r["least"] is None or r["least"] == 1) and not r["most"] for r in found)
+    assert all(r["told"] == 40 for r in found if r["n"] >= 60)
+
+
 @pytest.mark.parametrize("range_rows", [1000, 3])
 def test_op9(spark, tmp_path, monkeypatch, range_rows):
     monkeypatch.setattr(sketch, "RANGE_ROWS", range_rows)
@@ -267,7 +309,10 @@ def test_op9(spark, tmp_path, monkeypatch, range_rows):
         assert r["n_chars"] == len(text) and r["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest()
         assert by_text.setdefault(text, r["fingerprint"]) == r["fingerprint"]
         assert by_text.setdefault(edited, r["edited_fingerprint"]) == r["edited_fingerprint"]
-        assert 0 <= r["near_edited"] <= 1 and 0 <= r["near_next"] <= 1
+        near, following = jaccard(text, edited), jaccard(text, after)
+        for estimate, true, pair in ((r["near_edited"], near, (text, edited)), (r["near_next"], following, (text, after))):
+            small = max(len(shingle_set(x)) for x in pair) < sketch.LEAST  # kept whole
+            assert estimate == pytest.approx(true, abs=1e-9 if small else 0.2), (i, estimate, true)
         assert r["near_edited"] == 1 or r["fingerprint"] != r["edited_fingerprint"]
 
 
