@@ -6,9 +6,10 @@ into pieces, which a forward algorithm adds up. The probabilities are fitted by
 maximisation (forward and backward sums) over the words of a bounded sample of labelled
 documents: about `sample_docs` of each language, chosen by a hash of the id, whole texts.
 
-Words are runs of letters in lower case; runs over `LONGEST` letters are cut. A letter that is
-no piece has a small probability of its own. Words' likelihoods are kept in each worker in
-bounded generations. Null text, or one without letters, is `und` with score 0; so is every
+Words are runs of letters in lower case, of any length: those over `LONGEST` letters are summed
+with logarithms, in a window of the longest piece, the others in bulk. A letter that is no piece
+has a small probability of its own. Words' likelihoods are kept in each worker in bounded
+generations. Null text, or one without letters, is `und` with score 0; so is every
 text where no label was seen. The score is the probability of the language among those
 learned, of likelihoods taken to the power that a text of `SURE_LETTERS` would give, so that
 it tells short or mixed texts from sure ones. Ties go to the first language in order. A null
@@ -18,6 +19,7 @@ kept, those named like the new ones are replaced.
 
 from __future__ import annotations
 
+import functools
 import re
 import uuid
 from collections import Counter, defaultdict
@@ -33,8 +35,11 @@ from cellmend.llm.common import append_columns, bounded_batches, col, texts
 
 #: Labelled documents of each language from which the model learns, on average.
 SAMPLE_DOCS = 500
-#: Letters of a word, and of a piece that is used.
-LONGEST, LONGEST_PIECE = 24, 6
+#: Letters of a word up to which words are summed in bulk; the probabilities of longer ones
+#: would vanish without logarithms.
+LONGEST = 32
+#: Places in the lattices that are held at once.
+LATTICE = 1 << 17
 ROUNDS, SMOOTHING, UNKNOWN = 3, 0.1, 1e-6
 SURE_LETTERS = 40
 #: Words that a worker keeps scored, in each of two generations.
@@ -45,10 +50,7 @@ _WORD = re.compile(r"[^\W\d_]+")
 
 
 def words(text: str) -> list[str]:
-    found = _WORD.findall(text.lower())
-    if any(len(w) > LONGEST for w in found):
-        found = [w[i : i + LONGEST] for w in found for i in range(0, len(w), LONGEST)]
-    return found
+    return _WORD.findall(text.lower())
 
 
 def vocabulary(path: str) -> list[str]:
@@ -57,19 +59,19 @@ def vocabulary(path: str) -> list[str]:
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
     pieces = (model.id_to_piece(i).lower() for i in range(model.get_piece_size()))
-    return sorted({p for p in pieces if p == START or (len(p.removeprefix(START)) <= LONGEST_PIECE and _WORD.fullmatch(p.removeprefix(START)))})
+    return sorted({p for p in pieces if p == START or _WORD.fullmatch(p.removeprefix(START))})
 
 
 class Lattice:
     """Words and the pieces at each place, for words of one length."""
 
-    def __init__(self, index: dict[str, int], found: list[str]):
+    def __init__(self, index: dict[str, int], found: list[str], longest: int):
         marked = [START + w for w in found]
         self.n, self.size = len(marked), len(marked[0])
         #: (start, end, piece's number): 0 is no piece, 1 an unknown letter.
         self.arcs = []
         for end in range(1, self.size + 1):
-            for start in range(max(0, end - LONGEST_PIECE - (end <= LONGEST_PIECE + 1)), end):
+            for start in range(max(0, end - longest), end):
                 other = 1 if end - start == 1 else 0
                 at = np.fromiter((index.get(w[start:end], other) for w in marked), np.int32, self.n)
                 if at.any():
@@ -91,11 +93,55 @@ class Lattice:
         return out
 
 
+class LongWord:
+    """One word of any length, with logarithms of the sums."""
+
+    def __init__(self, index: dict[str, int], word: str, longest: int):
+        marked = START + word
+        self.size = len(marked)
+        #: By end: the starts and numbers of its pieces.
+        self.arcs = []
+        for end in range(1, self.size + 1):
+            known = [(start, index.get(marked[start:end], 1 if end - start == 1 else 0)) for start in range(max(0, end - longest), end)]
+            self.arcs.append([(start, i) for start, i in known if i])
+
+    def forward(self, p: np.ndarray) -> np.ndarray:
+        """(place, language): the logarithm of the sum over all segmentations up to the place."""
+        logs, out = _logs(p), np.full((self.size + 1, p.shape[1]), -np.inf)
+        out[0] = 0
+        for end, arcs in enumerate(self.arcs, 1):
+            out[end] = _log_sum(np.stack([out[start] + logs[i] for start, i in arcs]))
+        return out
+
+    def seen(self, p: np.ndarray) -> np.ndarray:
+        """The expected number of each piece, for one language."""
+        logs, f, n = _logs(p)[:, 0], self.forward(p)[:, 0], np.zeros(len(p))
+        back = np.full(self.size + 1, -np.inf)
+        back[self.size] = 0
+        for end in range(self.size, 0, -1):
+            for start, i in self.arcs[end - 1]:
+                back[start] = np.logaddexp(back[start], back[end] + logs[i])
+                n[i] += np.exp(f[start] + logs[i] + back[end] - f[-1])
+        return n
+
+
+def _logs(p: np.ndarray) -> np.ndarray:
+    with np.errstate(divide="ignore"):
+        return np.log(p)
+
+
+def _log_sum(x: np.ndarray) -> np.ndarray:
+    most = x.max(axis=0)
+    return most + np.log(np.exp(x - most).sum(axis=0))
+
+
 def _by_length(found: list[str]) -> dict[int, list[str]]:
+    """Words up to LONGEST letters, of one length and in parts that a lattice holds."""
     out = defaultdict(list)
     for w in found:
-        out[len(w)].append(w)
-    return out
+        if len(w) <= LONGEST:
+            out[len(w)].append(w)
+    return {(n, a): group[a : a + step] for n, group in out.items() for step in [max(1, LATTICE // (n + 2))] for a in range(0, len(group), step)}
 
 
 @dataclass
@@ -111,13 +157,18 @@ class Model:
     def index(self) -> dict[str, int]:
         return {x: i for i, x in enumerate(self.pieces, 2)}
 
+    @functools.cached_property
+    def longest(self) -> int:
+        return max(map(len, self.pieces), default=1)
+
     def log_likelihoods(self, index: dict[str, int], found: list[str]) -> np.ndarray:
         """(word, language) of the words, as float32."""
         out, at = np.empty((len(found), len(self.langs)), np.float32), {w: i for i, w in enumerate(found)}
-        for group in _by_length(found).values():
-            for a in range(0, len(group), 4096):
-                part = group[a : a + 4096]
-                out[[at[w] for w in part]] = np.log(Lattice(index, part).forward(self.p)[-1])
+        for part in _by_length(found).values():
+            out[[at[w] for w in part]] = np.log(Lattice(index, part, self.longest).forward(self.p)[-1])
+        for w, i in at.items():
+            if len(w) > LONGEST:
+                out[i] = LongWord(index, w, self.longest).forward(self.p)[-1]
         return out
 
 
@@ -129,13 +180,16 @@ def fit(counts: dict[str, Counter], pieces: list[str], rounds: int = ROUNDS) ->
     for k, lang in enumerate(langs):
         p = np.full((len(pieces) + 2, 1), 1 / (len(pieces) + 2))
         p[0], p[1] = 0, UNKNOWN
-        lattices = [(Lattice(index, part), np.array([counts[lang][w] for w in part], float)) for group in _by_length(sorted(counts[lang])).values() for a in range(0, len(group), 4096) for part in [group[a : a + 4096]]]
+        lattices = [(Lattice(index, part, model.longest), np.array([counts[lang][w] for w in part], float)) for part in _by_length(sorted(counts[lang])).values()]
+        long = [(LongWord(index, w, model.longest), n) for w, n in sorted(counts[lang].items()) if len(w) > LONGEST]
         for _ in range(rounds):
             seen = np.zeros(len(p))
             for lattice, n in lattices:
                 f, b = lattice.forward(p)[:, :, 0], lattice.backward(p)[:, :, 0]
                 for start, end, at in lattice.arcs:
                     seen += np.bincount(at, n * f[start] * p[at, 0] * b[end] / f[-1], len(p))
+            for word, n in long:
+                seen += n * word.seen(p)
             seen[2:] += SMOOTHING
             seen[0] = seen[1] = 0
             p = (seen / seen.sum() * (1 - UNKNOWN))[:, None]

@@ -181,6 +181,22 @@ def test_forward_sums_all_segmentations():
     assert model.p[:, 0].sum() == pytest.approx(1)
 
 
+def test_words_and_pieces_of_any_length(monkeypatch):
+    counts = {"l": {"abcabc": 3, "zz": 2, "ab" * 30: 4}, "m": {"cccb": 2, "bc" * 25: 1}}
+    pieces = ["▁", "a", "b", "c", "ab", "abc", "▁abcabcabcabc"]
+    long = langid.fit(counts, pieces)
+    monkeypatch.setattr(langid, "LONGEST", 100)
+    bulk = langid.fit(counts, pieces)
+    assert long.p == pytest.approx(bulk.p, rel=1e-6) and long.longest == 13
+    found = ["ab" * 30, "abcabcabcabcabc", "c" * 40]
+    expected = bulk.log_likelihoods(bulk.index, found)
+    monkeypatch.setattr(langid, "LONGEST", 3)
+    assert long.log_likelihoods(long.index, found) == pytest.approx(expected, rel=1e-4)
+    scores = long.log_likelihoods(long.index, ["ab" * 500, "x" * 1000])
+    assert scores[0, 0] > scores[0, 1] > -1e5 and scores[1] == pytest.approx([math.log(long.p[2, k]) + 1000 * math.log(langid.UNKNOWN) for k in (0, 1)], rel=1e-4)
+    assert max(map(len, langid.vocabulary(queries.PIECES))) > 7
+
+
 def test_scorer_is_bounded(monkeypatch):
     monkeypatch.setattr(langid, "CACHE", 8)
     model = langid.fit({"l": {"ab": 3}, "m": {"b": 1}}, ["▁", "a", "b"])
