@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cellmend.llm.common import append_columns, texts
+from cellmend.llm.common import append_columns, texts, tokenizer_file
 
 #: Pieces that a worker keeps encoded, in each of two generations.
 CACHE = 150_000
@@ -190,7 +190,7 @@ class Pieces(dict):
 @functools.cache
 def vocabulary(path: str) -> Vocabulary:
     """Read once in each Python worker, which Spark uses again for later tasks."""
-    return Vocabulary(path)
+    return Vocabulary(tokenizer_file(path))
 
 
 def _encoder(path: str):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import re
 import tempfile
 import uuid
@@ -30,6 +31,15 @@ def bounded_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
+def tokenizer_file(path: str) -> str:
+    """The path itself where this machine has it, else the place of the public file of that name."""
+    if os.path.exists(path):
+        return path
+    import public_tokenizers
+
+    return public_tokenizers.path(os.path.basename(path))
+
+
 def checkpoint_folder(spark: SparkSession) -> str:
     """The shared folder of `spark.checkpoint.dir`.
 

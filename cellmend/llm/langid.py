@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cellmend.llm.common import append_columns, bounded_batches, col, texts
+from cellmend.llm.common import append_columns, bounded_batches, col, texts, tokenizer_file
 
 #: Labelled documents of each language from which the model learns, on average.
 SAMPLE_DOCS = 500
@@ -57,7 +57,7 @@ def vocabulary(path: str) -> list[str]:
     """The pieces of a sentencepiece model that words are made of, in lower case."""
     import sentencepiece
 
-    model = sentencepiece.SentencePieceProcessor(model_file=path)
+    model = sentencepiece.SentencePieceProcessor(model_file=tokenizer_file(path))
     pieces = (model.id_to_piece(i).lower() for i in range(model.get_piece_size()))
     return sorted({p for p in pieces if p == START or _WORD.fullmatch(p.removeprefix(START))})
 

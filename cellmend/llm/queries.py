@@ -2,18 +2,15 @@
 
 from __future__ import annotations
 
-import os
-
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cellmend.llm import bpe, chat, decontam, langid, licenses, line_dedup, pii, simhash, sketch, token_counts
 from cellmend.llm.common import documents
 
-#: Folder of the public tokenizers' files, the same on the driver and the executors.
-TOKENIZERS = os.environ.get("PUBLIC_TOKENIZERS", "/opt/tokenizers")
-BYTE_BPE = f"{TOKENIZERS}/byte_bpe_50k.json"
-PIECES = f"{TOKENIZERS}/piece_bpe_32k.model"
+#: The public tokenizers' files; executors look for them by name where they lie elsewhere.
+BYTE_BPE, PIECES = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
 #: The id that ends a document in flat token files.
 END_OF_DOCUMENT = 50256
 
@@ -41,9 +38,10 @@ def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's tokens, counted in the flat files of all documents."""
-    blocks, manifest = token_counts.write_tokens(documents(spark, sf_dir), BYTE_BPE, END_OF_DOCUMENT)
-    counted = token_counts.count_tokens(blocks, END_OF_DOCUMENT)
-    return manifest.join(counted, ["file", "seq"]).select(F.col("id").alias("doc_id"), "file", "seq", "start", "n_tokens")
+    files, manifest = token_counts.write_tokens(documents(spark, sf_dir), BYTE_BPE, END_OF_DOCUMENT)
+    counted = token_counts.count_tokens(files, END_OF_DOCUMENT)
+    number = F.regexp_extract("file", r"part-([0-9]+)-", 1).cast("int").alias("file")
+    return manifest.join(counted, ["file", "seq"]).select(F.col("id").alias("doc_id"), number, "seq", "start", "n_tokens")
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

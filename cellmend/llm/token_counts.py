@@ -1,93 +1,132 @@
 """Operator 4: token counts of the documents in flat token files.
 
 A flat file is a stream of token ids in which an end-of-document id follows each document;
-nothing says where documents start. It is read in blocks of equal size, cut anywhere. Each
-block is searched for the separator with numpy, and gives the counts between its separators
-and a small summary. Documents that cross blocks are stitched by a prefix scan over the
-summaries: the tokens and separators before a block, and the place of the last separator
-before it. The scan has two levels, within chunks of blocks and over the chunks, so that
-a file of any length is scanned without one task holding all its blocks.
+nothing says where documents start, and there is no index. It is read in byte ranges of
+equal size, cut anywhere, so a file of any length is searched by many tasks. Each block is
+searched for the separator with numpy, and gives a small summary and the places of its
+separators. Documents that cross blocks are stitched by a prefix scan over the summaries: the
+tokens and separators before a block, and the place of the last separator before it. The scan
+has two levels, within chunks of blocks and over the chunks, so that a file of any length is
+scanned without one task holding all its blocks.
+
+Files are opened by their address with pyarrow's file systems (local and mounted folders,
+hdfs, s3, gs); each task writes one of its own, whose name holds its attempt, and only the
+files that a finished attempt reports are ever read, so a lost executor leaves no trace.
 
 A file's end ends its last document, if it has tokens after the last separator. Empty
-documents count zero tokens. Null text is written as an empty document; repeated rows are
-documents of their own. Rows of null id keep it.
+documents count zero tokens, empty files hold none. Null text is written as an empty
+document; repeated rows are documents of their own. Rows of null id keep it. Ids that the
+type can't hold, and files that end within a token, are errors.
 """
 
 from __future__ import annotations
 
+import re
+import uuid
+
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cellmend.llm.bpe import pieces, vocabulary
-from cellmend.llm.common import bounded_batches, checkpointed, col, texts
+from cellmend.llm.common import bounded_batches, checkpoint_folder, checkpointed, col, texts
 
 #: Tokens of a block, and blocks of a chunk of the scan.
-BLOCK_TOKENS, CHUNK_BLOCKS = 1 << 16, 256
+BLOCK_TOKENS, CHUNK_BLOCKS = 1 << 20, 256
+#: Bytes of files that a task searches.
+TASK_BYTES = 64 << 20
 DTYPE = "<u2"
 
 
-def write_tokens(df: DataFrame, path: str, separator: int, id_col: str = "doc_id", text_col: str = "text", dtype: str = DTYPE) -> tuple[DataFrame, DataFrame]:
-    """The texts' flat files, as blocks (file, block, data), and the manifest (file, seq, id).
+def opened(address: str) -> tuple[fs.FileSystem, str]:
+    """The file system of an address, and the path in it."""
+    address = re.sub(r"^file:/+", "/", address)
+    return (fs.LocalFileSystem(), address) if address.startswith("/") else fs.FileSystem.from_uri(address)
+
+
+def as_ids(ids: bytes, dtype: str) -> bytes:
+    """Ids of four bytes each, as those of the file's type."""
+    numbers = np.frombuffer(ids, "<u4")
+    if len(numbers) and numbers.max() > np.iinfo(dtype).max:
+        raise OverflowError(f"id {numbers.max()} doesn't fit {dtype}")
+    return numbers.astype(dtype).tobytes()
+
+
+def write_tokens(df: DataFrame, path: str, separator: int, id_col: str = "doc_id", text_col: str = "text", dtype: str = DTYPE, folder: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """The texts' flat files (file, length), and the manifest (file, seq, id).
 
-    The vocabulary is read from the file `path`. Each partition makes one file. The
-    manifest has the documents' order only, nothing of where they are.
+    The vocabulary is read from the file `path`. Each partition makes one file in `folder`, or
+    in a new one in the shared folder. The manifest has the documents' order only, nothing of
+    where they are.
     """
+    from pyspark.sql.pandas.types import to_arrow_type
+
     bounded_batches(df.sparkSession)
+    folder = folder or f"{checkpoint_folder(df.sparkSession)}/tokens-{uuid.uuid4().hex}"
     source = df.select(col(id_col).alias("id"), col(text_col).alias("text"))
     kind = source.schema["id"].dataType
-    from pyspark.sql.pandas.types import to_arrow_type
-
     own = to_arrow_type(kind)
-    schema = T.StructType([T.StructField("file", T.IntegerType()), T.StructField("block", T.LongType()), T.StructField("data", T.BinaryType()), T.StructField("seq", T.LongType()), T.StructField("ids", T.ArrayType(kind))])
-    arrow = pa.schema([("file", pa.int32()), ("block", pa.int64()), ("data", pa.binary()), ("seq", pa.int64()), ("ids", pa.list_(own))])
-    size = BLOCK_TOKENS * np.dtype(dtype).itemsize
+    schema = T.StructType([T.StructField("file", T.StringType()), T.StructField("length", T.LongType()), T.StructField("seq", T.LongType()), T.StructField("ids", T.ArrayType(kind))])
+    arrow = pa.schema([("file", pa.string()), ("length", pa.int64()), ("seq", pa.int64()), ("ids", pa.list_(own))])
+    end = as_ids(np.array([separator], "<u4").tobytes(), dtype)
 
     def run(batches):
-        v, file = vocabulary(path), TaskContext.get().partitionId()
-        end, buffer, block, seq = np.array([separator], dtype).tobytes(), bytearray(), 0, 0
-
-        def rows(datas, ids=None):
-            n = len(datas) + (ids is not None)
-            return pa.RecordBatch.from_arrays([pa.array([file] * n, pa.int32()), pa.array([*range(block, block + len(datas)), *[None] * (ids is not None)], pa.int64()), pa.array([*datas, *[None] * (ids is not None)], pa.binary()), pa.array([None] * len(datas) + [seq] * (ids is not None), pa.int64()), pa.array([None] * len(datas) + [ids] * (ids is not None), pa.list_(own))], schema=arrow)
-
-        for batch in batches:
-            for text in texts(batch.column(1)):
-                ids = b"".join(map(v.cache.__getitem__, pieces(text)))
-                buffer += np.frombuffer(ids, "<u4").astype(dtype).tobytes() + end
-            full = len(buffer) // size * size
-            datas = [bytes(buffer[i : i + size]) for i in range(0, full, size)]
-            del buffer[:full]
-            yield rows(datas, batch.column(0).to_pylist())
-            block, seq = block + len(datas), seq + batch.num_rows
-        if buffer:
-            yield rows([bytes(buffer)])
+        v, task = vocabulary(path), TaskContext.get()
+        file = f"{folder}/part-{task.partitionId():06d}-{task.taskAttemptId()}.bin"
+        system, place = opened(file)
+        system.create_dir(place.rpartition("/")[0], recursive=True)
+        seq = length = 0
+        with system.open_output_stream(place) as out:
+            for batch in batches:
+                for text in texts(batch.column(1)):
+                    written = as_ids(b"".join(map(v.cache.__getitem__, pieces(text))), dtype) + end
+                    out.write(written)
+                    length += len(written)
+                yield pa.RecordBatch.from_arrays([pa.array([file]), pa.array([None], pa.int64()), pa.array([seq]), pa.array([batch.column(0).to_pylist()], pa.list_(own))], schema=arrow)
+                seq += batch.num_rows
+        yield pa.RecordBatch.from_arrays([pa.array([file]), pa.array([length]), pa.array([None], pa.int64()), pa.array([None], pa.list_(own))], schema=arrow)
 
     written = checkpointed(source.mapInArrow(run, schema))
-    blocks = written.where("data is not null").select("file", "block", "data")
     manifest = written.where("ids is not null").select("file", "seq", F.posexplode("ids").alias("at", "id")).select("file", (F.col("seq") + F.col("at")).alias("seq"), "id")
-    return blocks, manifest
+    return written.where("length is not null").select("file", "length"), manifest
+
 
+def token_files(spark: SparkSession, path: str) -> DataFrame:
+    """(file, length) of the files at `path`, of any length; their contents aren't read."""
+    return spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), "length")
 
-def read_token_files(spark: SparkSession, path: str, dtype: str = DTYPE) -> DataFrame:
-    """Blocks (file, block, data) of binary files at `path`, below 2 GB each; file is their path."""
-    bounded_batches(spark)
+
+def read_blocks(files: DataFrame, dtype: str = DTYPE) -> DataFrame:
+    """(file, block, data) of files (file, length), in byte ranges."""
+    bounded_batches(files.sparkSession)
     size = BLOCK_TOKENS * np.dtype(dtype).itemsize
+    ranges = files.where("length > 0").select("file", "length", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(length - 1) div {size}"))).alias("block"))
+    total = files.agg(F.sum("length")).first()[0] or 0
+    tasks = max(1, min(-(-total // size), max(files.sparkSession.sparkContext.defaultParallelism, -(-total // TASK_BYTES))))
 
-    def cut(batches):
+    def run(batches):
         for batch in batches:
-            for name, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                view = memoryview(data.as_buffer())
-                for k in range(0, len(view), size):
-                    yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([k // size], pa.int64()), pa.array([view[k : k + size].tobytes()], pa.binary())], names=["file", "block", "data"])
+            for file, length, block in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if length % np.dtype(dtype).itemsize:
+                    raise ValueError(f"{file} ends within a token")
+                system, place = opened(file)
+                with system.open_input_file(place) as source:
+                    data = source.read_at(min(size, length - block * size), block * size)
+                yield pa.RecordBatch.from_arrays([pa.array([file]), pa.array([block]), pa.array([data], pa.binary())], names=["file", "block", "data"])
+
+    return ranges.repartition(tasks, "file", "block").mapInArrow(run, "file string, block long, data binary")
+
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(cut, "file string, block long, data binary")
+def count_tokens(files: DataFrame, separator: int, dtype: str = DTYPE) -> DataFrame:
+    """(file, seq, start, n_tokens) of each document in flat files (file, length)."""
+    return count_in_blocks(read_blocks(files, dtype), separator, dtype)
 
 
-def count_tokens(blocks: DataFrame, separator: int, dtype: str = DTYPE) -> DataFrame:
+def count_in_blocks(blocks: DataFrame, separator: int, dtype: str = DTYPE) -> DataFrame:
     """(file, seq, start, n_tokens) of each document in blocks (file, block, data)."""
     bounded_batches(blocks.sparkSession)
     kind = blocks.schema["file"].dataType

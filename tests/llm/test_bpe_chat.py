@@ -62,14 +62,54 @@ def test_op1(spark, tmp_path):
         assert (r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) == (len(encoded(text)) // 4, hashlib.sha256(encoded(text)).hexdigest(), hashlib.sha256(text.encode()).hexdigest())
 
 
-def test_token_files(spark, odd, none, tmp_path, monkeypatch):
-    v = bpe.vocabulary(queries.BYTE_BPE)
-    expected = sorted((str(i), len(b"".join(map(v.cache.__getitem__, bpe.pieces(t or "")))) // 4) for i, t in ROWS)
-    blocks, manifest = token_counts.write_tokens(odd, queries.BYTE_BPE, 50256)
-    found = manifest.join(token_counts.count_tokens(blocks, 50256), ["file", "seq"])
-    assert sorted((str(r["id"]), r["n_tokens"]) for r in found.collect()) == expected
-    blocks, manifest = token_counts.write_tokens(none, queries.BYTE_BPE, 50256)
-    assert token_counts.count_tokens(blocks, 50256).count() == 0 == manifest.count()
+@pytest.mark.parametrize("block", [1 << 20, 50])
+def test_op4(spark, tmp_path, monkeypatch, block):
+    monkeypatch.setattr(token_counts, "BLOCK_TOKENS", block)
+    rand = random.Random(7)
+    rows = [*ROWS, *((i, " ".join(rand.choices(["the", "lazy", "<|endoftext|>", "漢字", "\n", "x" * 50], k=rand.randint(0, 80)))) for i in range(100, 160))]
+    sf = write(spark, tmp_path, documents=(rows, "doc_id long, text string"))
+    found = queries.op4_token_counts(spark, sf).collect()
+    # Special strings in texts are ordinary text here, as nothing else may look like a separator.
+    TOKENIZER.encode_special_tokens = True
+    expected = sorted((str(i), len(encoded(t or "")) // 4) for i, t in rows)
+    TOKENIZER.encode_special_tokens = False
+    assert sorted((str(r["doc_id"]), r["n_tokens"]) for r in found) == expected
+    by_file = defaultdict(list)
+    for r in found:
+        by_file[r["file"]].append((r["seq"], r["start"], r["n_tokens"]))
+    for places in by_file.values():
+        places.sort()
+        assert [p[0] for p in places] == list(range(len(places))) and all(a[1] + a[2] + 1 == b[1] for a, b in zip(places, places[1:], strict=False))
+
+
+def test_token_files_of_odd_tables(spark, none, odd, tmp_path):
+    files, manifest = token_counts.write_tokens(none, queries.BYTE_BPE, 50256)
+    assert token_counts.count_tokens(files, 50256).count() == 0 == manifest.count()
+    files, manifest = token_counts.write_tokens(odd, queries.BYTE_BPE, 50256, folder=str(tmp_path / "own"), dtype="<u4")
+    listed = token_counts.token_files(spark, str(tmp_path / "own"))
+    assert sorted(r["length"] for r in listed.collect()) == sorted(r["length"] for r in files.collect()) and manifest.count() == len(ROWS)
+    assert token_counts.count_tokens(listed, 50256, dtype="<u4").count() == len(ROWS)
+
+
+def test_ids_that_do_not_fit_are_errors(spark, tmp_path):
+    with pytest.raises(OverflowError):
+        token_counts.as_ids(struct.pack("<2I", 5, 70000), "<u2")
+    with pytest.raises(OverflowError):
+        token_counts.write_tokens(spark.createDataFrame([(1, "a")], "doc_id long, text string"), queries.BYTE_BPE, 70000)
+    (tmp_path / "a.bin").write_bytes(b"\1\0\2")
+    with pytest.raises(Exception, match="ends within a token"):
+        token_counts.count_tokens(token_counts.token_files(spark, str(tmp_path)), 9).collect()
+
+
+def test_a_file_beyond_two_gigabytes(spark, tmp_path):
+    """A sparse file: zeros, and separators at its start, beyond 2 GB and at its end."""
+    tokens, ends = (2 << 30) // 2 + 5_000_000, [3, (2 << 30) // 2 + 1_000, (2 << 30) // 2 + 5_000_000 - 1]
+    with (tmp_path / "a.bin").open("wb") as f:
+        for end in ends:
+            f.seek(2 * end)
+            f.write(struct.pack("<H", 9))
+    found = token_counts.count_tokens(token_counts.token_files(spark, str(tmp_path)), 9)
+    assert sorted((r["seq"], r["start"], r["n_tokens"]) for r in found.collect()) == [(0, 0, 3), (1, 4, ends[1] - 4), (2, ends[1] + 1, ends[2] - ends[1] - 1)] and tokens == ends[-1] + 1
 
 
 @pytest.mark.parametrize("block, chunk", [(1, 2), (3, 1), (4, 3), (1000, 256)])
@@ -87,13 +127,13 @@ def test_blocks_are_stitched(spark, monkeypatch, block, chunk):
         if start < len(tokens):
             expected.append((file, sum(t == 9 for t in tokens), start, len(tokens) - start))
     blocks = spark.createDataFrame(rows, "file int, block long, data binary").repartition(3)
-    assert sorted(map(tuple, token_counts.count_tokens(blocks, 9).collect())) == sorted(expected)
+    assert sorted(map(tuple, token_counts.count_in_blocks(blocks, 9).collect())) == sorted(expected)
 
 
 def test_flat_files_are_read(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(token_counts, "BLOCK_TOKENS", 4)
     (tmp_path / "a.bin").write_bytes(struct.pack("<11H", 1, 2, 3, 9, 9, 5, 6, 7, 8, 9, 4))
-    found = token_counts.count_tokens(token_counts.read_token_files(spark, str(tmp_path)), 9)
+    found = token_counts.count_tokens(token_counts.token_files(spark, str(tmp_path)), 9)
     assert sorted((r["seq"], r["start"], r["n_tokens"]) for r in found.collect()) == [(0, 0, 3), (1, 4, 0), (2, 5, 4), (3, 10, 1)]
 
 
