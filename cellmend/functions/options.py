@@ -64,10 +64,10 @@ COST_WEIGHT = Option("repair.pmf.cost_weight", 0.1, float, _positive, "should be
 PROB_THRESHOLD = Option("repair.pmf.prob_threshold", 0.0, float)
 PROB_TOP_K = Option("repair.pmf.prob_top_k", 32, int, lambda v: v >= 3, "should be greater than 2")
 #: This engine's own: how discrete columns are predicted, and the smoothing of counts.
-ENGINE = Option("model.engine", "counting", str, lambda v: v in ("counting", "mllib"), "should be counting or mllib")
+ENGINE = Option("model.engine", "counting", str, lambda v: v in ("counting", "boosting"), "should be counting or boosting")
 SMOOTHING = Option("model.counting.smoothing", 1.0, float, _positive, "should be greater than 0")
 
-#: Of the boosted trees; those that the tree library here doesn't have are taken and ignored.
+#: Of the boosted trees; what these don't have is taken and ignored.
 LEARNING_RATE = Option("model.lgb.learning_rate", 0.1, float, _positive, "should be greater than 0")
 MAX_DEPTH = Option("model.lgb.max_depth", 5, int)
 MAX_BIN = Option("model.lgb.max_bin", 255, int)
@@ -77,14 +77,14 @@ CLASS_WEIGHT = Option("model.lgb.class_weight", "balanced", str)
 N_SPLITS = Option("model.cv.n_splits", 3, int, lambda v: v >= 3, "should be greater than 2")
 HP_TIMEOUT = Option("model.hp.timeout", 0, int)
 HP_MAX_EVALS = Option("model.hp.max_evals", 1, int, _positive, "should be greater than 0")
+REG_ALPHA = Option("model.lgb.reg_alpha", 0.0, float, lambda v: v >= 0, "should be greater than or equal to 0")
+NO_PROGRESS = Option("model.hp.no_progress_loss", 50, int, _positive, "should be greater than 0")
 IGNORED = (
     Option("model.lgb.boosting_type", "gbdt", str, lambda v: v in ("gbdt", "dart", "goss", "rf"), "should be in ['gbdt', 'dart', 'goss', 'rf']"),
-    Option("model.lgb.reg_alpha", 0.0, float, lambda v: v >= 0, "should be greater than or equal to 0"),
     Option("model.lgb.importance_type", "gain", str, lambda v: v in ("split", "gain"), "should be in ['split', 'gain']"),
-    Option("model.hp.no_progress_loss", 50, int, _positive, "should be greater than 0"),
 )
 MODEL_OPTIONS = (
     MAX_TRAINING_ROWS, MAX_TRAINING_COLUMNS, SMALL_DOMAIN, NO_REGEX_RULE, NO_NEAREST_RULE, MERGE_THRESHOLD, NO_FD_RULE, MAX_RULE_DOMAIN, COST_WEIGHT, PROB_THRESHOLD, PROB_TOP_K, ENGINE, SMOOTHING,
-    LEARNING_RATE, MAX_DEPTH, MAX_BIN, MIN_SPLIT_GAIN, N_ESTIMATORS, CLASS_WEIGHT, N_SPLITS, HP_TIMEOUT, HP_MAX_EVALS, *IGNORED,
+    LEARNING_RATE, MAX_DEPTH, MAX_BIN, MIN_SPLIT_GAIN, N_ESTIMATORS, CLASS_WEIGHT, N_SPLITS, HP_TIMEOUT, HP_MAX_EVALS, REG_ALPHA, NO_PROGRESS, *IGNORED,
 )
 KEYS = {o.key for o in (*ERROR_OPTIONS, *MODEL_OPTIONS)}

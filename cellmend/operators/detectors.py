@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cellmend.functions.names import col
+from cellmend.operators import stats
 from cellmend.plans import constraints as dc
 from cellmend.session import ship_package
 from cellmend.sources.tables import need_columns
@@ -202,9 +203,10 @@ class GaussianOutlierErrorDetector(ErrorDetector):
         names = [c for c in self._targets if c in self.continuous]
         if not names:
             return {}
-        quartiles = [F.lit(0.25), F.lit(0.75)]
-        of = lambda c: F.percentile_approx(c, F.array(*quartiles), 1000) if self.approx_enabled else F.percentile(c, F.array(*quartiles))
-        row = self.df.agg(*(of(col(c)).alias(f"q{i}") for i, c in enumerate(names))).first()
+        if self.approx_enabled:
+            row = self.df.agg(*(F.percentile_approx(col(c), F.array(F.lit(0.25), F.lit(0.75)), 1000).alias(f"q{i}") for i, c in enumerate(names))).first()
+        else:
+            row = stats.quantiles(self.df, {c: col(c) for c in names}, [0.25, 0.75]).values()
         out = {}
         for c, q in zip(names, row, strict=True):
             if q is not None and None not in q:
@@ -231,19 +233,19 @@ class FittedOutlierErrorDetector(ErrorDetector):
         self.parallel_mode_threshold, self.num_parallelism = parallel_mode_threshold, num_parallelism
 
     @abstractmethod
-    def _outlier_detector_impl(self) -> Any: ...
+    def _estimator(self) -> Any: ...
 
     def cells(self) -> DataFrame:
         names = [c for c in self._targets if c in self.continuous]
         if not names:
             return no_cells(self.df, self.row_id)
         ship_package(self.df.sparkSession)
-        medians = self.df.agg(F.count("*"), *(F.percentile(col(c), F.lit(0.5)) for c in names)).first()
-        n = medians[0]
+        n = self.df.count()
+        medians = [q and q[0] for q in stats.quantiles(self.df, {c: col(c) for c in names}, [0.5]).values()]
         groups = 1 if n <= self.parallel_mode_threshold else max(self.num_parallelism or 1, math.ceil(n / self.parallel_mode_threshold))
-        values = F.array(*(F.struct(F.lit(c).alias("attribute"), F.coalesce(col(c).cast("double"), F.lit(m)).alias("value"), col(c).cast("string").alias("current_value")) for c, m in zip(names, medians[1:], strict=True) if m is not None))
+        values = F.array(*(F.struct(F.lit(c).alias("attribute"), F.coalesce(col(c).cast("double"), F.lit(m)).alias("value"), col(c).cast("string").alias("current_value")) for c, m in zip(names, medians, strict=True) if m is not None))
         cells = self.df.select(col(self.row_id).alias("__id"), F.inline(values)).withColumn("__group", F.pmod(F.xxhash64("__id"), F.lit(groups)))
-        estimator = self._outlier_detector_impl()
+        estimator = self._estimator()
 
         def fit(group: pd.DataFrame) -> pd.DataFrame:
             wrong = np.asarray(copy.deepcopy(estimator).fit_predict(group[["value"]].to_numpy())) < 0
@@ -268,7 +270,7 @@ class ScikitLearnBackedErrorDetector(FittedOutlierErrorDetector):
             raise ValueError("An instance that `error_detector_cls` returns should have a `fit_predict` method")
         self.error_detector_cls = error_detector_cls
 
-    def _outlier_detector_impl(self) -> Any:
+    def _estimator(self) -> Any:
         return self.error_detector_cls()
 
 
@@ -302,7 +304,7 @@ class LocalOutlierFactor:
 class LOFOutlierErrorDetector(FittedOutlierErrorDetector):
     """D6 with the local outlier factor."""
 
-    def _outlier_detector_impl(self) -> Any:
+    def _estimator(self) -> Any:
         return LocalOutlierFactor()
 
 

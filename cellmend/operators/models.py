@@ -2,32 +2,30 @@
 
 The counting model is the default for discrete columns: the naive Bayes posterior over value
 counts, computed by joins for all columns and cells at once, so training is one aggregation
-and needs no row on the driver. Continuous columns are predicted by boosted trees of MLlib,
-which can also classify (option model.engine=mllib).
+and needs no row on the driver. Continuous columns are predicted by boosted trees, which can
+also classify (option model.engine=boosting). They learn from a bounded sample of rows, each
+target in a task of its own.
 """
 
 from __future__ import annotations
 
 import logging
-import time
+import math
+import pickle
 from collections.abc import Iterable
-from concurrent.futures import ThreadPoolExecutor
-from dataclasses import dataclass, field
-
-from pyspark.ml import Pipeline
-from pyspark.ml.classification import RandomForestClassifier
-from pyspark.ml.evaluation import MulticlassClassificationEvaluator, RegressionEvaluator
-from pyspark.ml.feature import Imputer, OneHotEncoder, StringIndexer, VectorAssembler
-from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GBTRegressor
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
+from dataclasses import dataclass
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cellmend.functions import options as o
 from cellmend.functions.names import col
+from cellmend.operators import booster
 from cellmend.operators.rules import by_dependency
 from cellmend.operators.stats import long_counts
+from cellmend.session import ship_package
 from cellmend.sources.tables import CONTINUOUS, INTEGRAL
 
 logger = logging.getLogger("cellmend")
@@ -106,8 +104,12 @@ def _known(x: str):
     return F.coalesce(F.concat(F.lit("="), col(x).cast("string")), F.lit(""))
 
 
-def fit_counting(discrete: DataFrame, targets: Iterable[str], features: dict[str, list[str]], smoothing: float = 1.0) -> CountingModel:
-    """T7, T8 for all discrete targets: one aggregation over the rows whose target is known."""
+def fit_counting(discrete: DataFrame, targets: Iterable[str], features: dict[str, list[str]], smoothing: float = 1.0, rebalance: bool = False) -> CountingModel:
+    """T7, T8 for all discrete targets: one aggregation over the rows whose target is known.
+
+    T10: with `rebalance` the counts of each class are scaled to the median class size of its
+    target, which is what sampling and repeating its rows would give on average.
+    """
     ys = list(targets)
     sets = [(y, x) for y in ys for x in features[y]]
     text = discrete.select(*(col(y).cast("string").alias(f"__y{i}") for i, y in enumerate(ys)), *(_known(x).alias(f"__x{i}") for i, x in enumerate(discrete.columns)))
@@ -116,10 +118,15 @@ def fit_counting(discrete: DataFrame, targets: Iterable[str], features: dict[str
     counts = long_counts(text, named).where("v0 is not null")
     pairs = counts.where(F.col("set") < len(sets)).select("set", F.col("v1").alias("given"), F.col("v0").alias("class"), "cnt")
     singles = counts.where(F.col("set") >= len(sets)).select((F.col("set") - len(sets)).alias("t"), F.col("v0").alias("class"), F.col("cnt").alias("n"))
+    owner = F.array(*(F.lit(ys.index(y)) for y, _ in sets)) if sets else F.array(F.lit(-1))
+    if rebalance:
+        middle = singles.groupBy("t").agg(F.percentile("n", F.lit(0.5)).alias("middle"))  # over classes
+        scale = singles.join(middle, "t").select("t", "class", (F.col("middle") / F.col("n")).alias("scale"), "middle")
+        pairs = pairs.withColumn("t", F.get(owner, F.col("set"))).join(scale.drop("middle"), ["t", "class"]).select("set", "given", "class", (F.col("cnt") * F.col("scale")).alias("cnt"))
+        singles = scale.select("t", "class", F.col("middle").alias("n"))
     totals = singles.groupBy("t").agg(F.sum("n").alias("total"), F.count("*").alias("k"))
     # The number of values of each feature, over the rows that a target counts.
     domains = pairs.select("set", "given").distinct().groupBy("set").agg(F.count("*").alias("d"))
-    owner = F.array(*(F.lit(ys.index(y)) for y, _ in sets)) if sets else F.array(F.lit(-1))
     per_target = domains.select(F.get(owner, F.col("set")).alias("t"), "d").groupBy("t").agg(F.collect_list("d").alias("ds"))
     full = singles.join(totals, "t").join(per_target, "t", "left")
     a = smoothing
@@ -155,95 +162,54 @@ def class_deviation(df: DataFrame, y: str) -> float:
     return df.where(col(y).isNotNull()).groupBy(col(y)).count().agg(F.stddev_pop("count")).first()[0] or 0.0
 
 
+@dataclass
+class Fitted:
+    """What a task returns of a target: the columns' bins, the trees and the classes."""
+
+    columns: booster.Columns
+    trees: booster.Booster
+    classes: list[str]
+    trials: int
+
+
+def _matrix(rows: pd.Series, width: int, kind) -> np.ndarray:
+    return np.array([list(r) for r in rows], kind).reshape(len(rows), width)
+
+
 @dataclass
 class TreeModel:
-    """MLlib's trees over indexed and imputed columns: boosted for numbers, a forest for
-    classes."""
+    """Boosted trees of one target."""
 
     y: str
     features: list[str]
     continuous: bool
-    given: dict[str, str]
-    fitted: object = None
-    labels: list[str] = field(default_factory=list)
-
-    def _inputs(self, df: DataFrame) -> DataFrame:
-        kinds = dict(df.dtypes)
-        numbers = [col(x).cast("double").alias(f"__n{i}") for i, x in enumerate(self.features) if kinds[x] in CONTINUOUS]
-        texts = [F.coalesce(F.concat(F.lit("="), col(x).cast("string")), F.lit("null")).alias(f"__s{i}") for i, x in enumerate(self.features) if kinds[x] not in CONTINUOUS]
-        return df.select("*", *numbers, *texts)
-
-    def fit(self, df: DataFrame, small: dict[str, int]) -> TreeModel:
-        value = lambda option: option.value(self.given)
-        rows = df.where(col(self.y).isNotNull())
-        n = rows.count()
-        if n > value(o.MAX_TRAINING_ROWS):  # T6
-            rows = rows.sample(value(o.MAX_TRAINING_ROWS) / n, SEED)
-        data = self._inputs(rows)
-        kinds = dict(df.dtypes)
-        numbers = [f"__n{i}" for i, x in enumerate(self.features) if kinds[x] in CONTINUOUS]
-        texts = [(f"__s{i}", x) for i, x in enumerate(self.features) if kinds[x] not in CONTINUOUS]
-        stages: list = []
-        parts: list[str] = []
-        if numbers:
-            stages.append(Imputer(inputCols=numbers, outputCols=[f"{c}_f" for c in numbers], strategy="median"))
-            parts += [f"{c}_f" for c in numbers]
-        for c, x in texts:  # T5
-            stages.append(StringIndexer(inputCol=c, outputCol=f"{c}_i", handleInvalid="keep"))
-            if small.get(x, 0) < value(o.SMALL_DOMAIN):
-                stages.append(OneHotEncoder(inputCol=f"{c}_i", outputCol=f"{c}_o", handleInvalid="keep"))
-                parts.append(f"{c}_o")
-            else:
-                parts.append(f"{c}_i")
-        stages.append(VectorAssembler(inputCols=parts, outputCol="__features", handleInvalid="keep"))
-        bins = max([value(o.MAX_BIN), *(small.get(x, 0) + 2 for _, x in texts)])
-        common = {"featuresCol": "__features", "labelCol": "__label", "seed": SEED, "maxDepth": max(1, value(o.MAX_DEPTH)), "maxBins": bins, "minInfoGain": value(o.MIN_SPLIT_GAIN)}
-        if self.continuous:
-            data = data.withColumn("__label", col(self.y).cast("double"))
-            learner = GBTRegressor(maxIter=value(o.N_ESTIMATORS), stepSize=min(1.0, value(o.LEARNING_RATE)), **common)
-            judge = RegressionEvaluator(labelCol="__label", metricName="rmse")
-        else:
-            indexer = StringIndexer(inputCol=self.y, outputCol="__label", stringOrderType="alphabetAsc").fit(rows.select(self.y))
-            self.labels = list(indexer.labels)
-            data = indexer.transform(data)
-            if value(o.CLASS_WEIGHT) == "balanced":
-                sizes = data.groupBy("__label").count()
-                data = data.join(F.broadcast(sizes), "__label").withColumn("__weight", F.lit(n) / (F.col("count") * len(self.labels)))  # as many rows as classes
-                common["weightCol"] = "__weight"
-            learner = RandomForestClassifier(numTrees=value(o.N_ESTIMATORS), **common)
-            judge = MulticlassClassificationEvaluator(labelCol="__label", metricName="f1")
-        stages.append(self._searched(learner, judge, value(o.HP_MAX_EVALS), value(o.N_SPLITS), value(o.HP_TIMEOUT), stages, data))
-        self.fitted = Pipeline(stages=stages).fit(data)
-        return self
-
-    def _searched(self, learner, judge, evals: int, folds: int, timeout: int, stages: list, data: DataFrame):
-        """The learner with the best of a few depths, if more than one trial is asked for."""
-        if evals <= 1:
-            return learner
-        began, best = time.time(), None
-        prepared = Pipeline(stages=stages).fit(data).transform(data).persist()
-        try:
-            for depth in (3, 5, 7, 9)[:evals]:
-                trial = learner.copy({learner.maxDepth: depth})
-                cv = CrossValidator(estimator=trial, estimatorParamMaps=ParamGridBuilder().build(), evaluator=judge, numFolds=folds, seed=SEED).fit(prepared)
-                score = cv.avgMetrics[0] * (1 if judge.isLargerBetter() else -1)
-                if best is None or score > best[0]:
-                    best = (score, trial)
-                if timeout and time.time() - began > timeout:
-                    break
-        finally:
-            prepared.unpersist()
-        return best[1]
+    fitted: Fitted
 
     def predict(self, df: DataFrame) -> DataFrame:
         """df with `__prediction`, and of classes their probabilities `__pmf`."""
-        done = self.fitted.transform(self._inputs(df))
+        numbers, texts = _inputs(df, self.features)
+        width, kinds, fitted = _widths(df, self.features), self.fitted.classes, self.fitted
+        n, t = width
+
+        def bins(a: pd.Series, b: pd.Series) -> np.ndarray:
+            return fitted.columns.transform(_matrix(a, n, float), _matrix(b, t, object))
+
         if self.continuous:
-            return done.select(*(col(c) for c in df.columns), F.col("prediction").alias("__prediction"))
-        names = F.array(*map(F.lit, self.labels))
-        pmf = F.zip_with(names, vector_to_array("probability"), lambda c, p: F.struct(c.alias("class"), p.alias("prob")))
-        sorted_pmf = F.array_sort(pmf, falling("class", "prob"))
-        return done.select(*(col(c) for c in df.columns), F.get(names, F.col("prediction").cast("int")).alias("__prediction"), sorted_pmf.alias("__pmf"))
+
+            @F.pandas_udf("double")
+            def number(a: pd.Series, b: pd.Series) -> pd.Series:
+                return pd.Series(fitted.trees.predict(bins(a, b)))
+
+            return df.withColumn("__prediction", number(numbers, texts))
+
+        @F.pandas_udf("array<double>")
+        def probabilities(a: pd.Series, b: pd.Series) -> pd.Series:
+            return pd.Series(list(fitted.trees.predict(bins(a, b))))
+
+        names = F.array(*map(F.lit, kinds))
+        done = df.withColumn("__p", probabilities(numbers, texts))
+        pmf = F.array_sort(F.zip_with(names, "__p", lambda c, p: F.struct(c.alias("class"), p.alias("prob"))), falling("class", "prob"))
+        return done.withColumn("__pmf", pmf).withColumn("__prediction", F.get("__pmf", 0)["class"]).drop("__p")
 
     def fill(self, df: DataFrame, y: str) -> DataFrame:
         kind = dict(df.dtypes)[y]
@@ -252,29 +218,82 @@ class TreeModel:
         return done.select(*(F.coalesce(col(c), value.cast(kind)).alias(c) if c == y else col(c) for c in df.columns))
 
 
-def fit_trees(df: DataFrame, targets: Iterable[str], features: dict[str, list[str]], continuous: Iterable[str], sizes: dict[str, int], given: dict[str, str], parallel: bool, rebalance: bool) -> dict[str, TreeModel | PoorModel]:
-    """A model of each target, in series or several at once; a failure leaves nulls."""
-    numeric = set(continuous)
+def _widths(df: DataFrame, features: list[str]) -> tuple[int, int]:
+    kinds = dict(df.dtypes)
+    n = sum(kinds[x] in CONTINUOUS for x in features)
+    return n, len(features) - n
 
-    def one(y: str) -> TreeModel | PoorModel:
-        known = df.where(col(y).isNotNull())
-        if y not in numeric:
-            least, most, n = known.agg(F.min(col(y)), F.max(col(y)), F.count("*")).first()
-            if n == 0 or least == most:
-                return PoorModel(least)
-            if rebalance:
-                known = rebalanced(known, y)
-        elif known.isEmpty():
-            return PoorModel(None)
-        try:
-            return TreeModel(y, features[y], y in numeric, given).fit(known, sizes)
-        except Exception as e:  # a column that can't be learned is left alone
-            logger.warning("Failed to build a model for '%s': %s", y, e)
-            return PoorModel(None)
 
+def _inputs(df: DataFrame, features: list[str]):
+    """The numbers and the texts of the features, as two arrays."""
+    kinds = dict(df.dtypes)
+    numbers = [F.coalesce(col(x).cast("double"), F.lit(math.nan)) for x in features if kinds[x] in CONTINUOUS]
+    texts = [col(x).cast("string") for x in features if kinds[x] not in CONTINUOUS]
+    return (F.array(*numbers) if numbers else F.array().cast("array<double>")), (F.array(*texts) if texts else F.array().cast("array<string>"))
+
+
+def _fit_one(rows: pd.DataFrame, width: tuple[int, int], continuous: bool, given: dict[str, str], rebalance: bool) -> Fitted:
+    value = lambda option: option.value(given)
+    rows = rows.sort_values("id", kind="stable")
+    numbers, texts = _matrix(rows["numbers"], width[0], float), _matrix(rows["texts"], width[1], object)
+    if continuous:
+        kinds, y = [], rows["label"].to_numpy(float)
+    else:
+        if rebalance:
+            numbers, texts, labels = booster.rebalance(numbers, texts, rows["label"].to_numpy(str))
+        else:
+            labels = rows["label"].to_numpy(str)
+        found, y = np.unique(labels, return_inverse=True)
+        kinds, y = [str(k) for k in found], y.astype(float)
+    columns = booster.Columns(max(2, value(o.MAX_BIN)), value(o.SMALL_DOMAIN)).fit(numbers, texts)
+    bins, weight = columns.transform(numbers, texts), np.ones(len(y))
+    if kinds and value(o.CLASS_WEIGHT) == "balanced":
+        sizes = np.bincount(y.astype(int))
+        weight = (len(y) / (len(sizes) * sizes))[y.astype(int)]
+    params = {"learning_rate": value(o.LEARNING_RATE), "max_depth": value(o.MAX_DEPTH) if value(o.MAX_DEPTH) > 0 else 8, "n_estimators": value(o.N_ESTIMATORS), "min_child": min(5, 1 + len(y) // 20), "min_split_gain": value(o.MIN_SPLIT_GAIN), "reg_alpha": value(o.REG_ALPHA), "column_share": 1.0}
+    trials = 0
+    if value(o.HP_MAX_EVALS) > 1 and len(y) >= 2 * value(o.N_SPLITS):
+        params, trials = booster.search(params, len(kinds), bins, y, weight, value(o.HP_MAX_EVALS), value(o.N_SPLITS), value(o.HP_TIMEOUT), value(o.NO_PROGRESS))
+    return Fitted(columns, booster.Booster(params, len(kinds)).fit(bins, y, weight), kinds, trials)
+
+
+def fit_trees(df: DataFrame, row_id: str, targets: Iterable[str], features: dict[str, list[str]], continuous: Iterable[str], given: dict[str, str], parallel: bool, rebalance: bool) -> dict[str, TreeModel | PoorModel]:
+    """A model of each target, from at most about MAX_TRAINING_ROWS of its known rows,
+    chosen by a hash of their ids; all at once in as many tasks, or one after another."""
+    ship_package(df.sparkSession)
+    numeric, out = set(continuous), {}
+    most = o.MAX_TRAINING_ROWS.value(given)
     names = list(targets)
-    with ThreadPoolExecutor(min(4, max(1, len(names))) if parallel else 1) as pool:
-        return dict(zip(names, pool.map(one, names), strict=True))
+    told = df.agg(*(f(col(y)).alias(f"{p}{i}") for i, y in enumerate(names) for p, f in (("a", F.min), ("b", F.max), ("n", F.count)))).first() if names else ()
+    parts = []
+    for i, y in enumerate(names):
+        least, largest, n = told[3 * i : 3 * i + 3]
+        if n == 0 or least == largest:
+            out[y] = PoorModel(least)
+            continue
+        numbers, texts = _inputs(df, features[y])
+        known = df.where(col(y).isNotNull())
+        if n > most:
+            known = known.where(F.pmod(F.xxhash64(col(row_id)), F.lit(1 << 30)) < int((1 << 30) * most / n))
+        parts.append(known.select(F.lit(i).alias("target"), F.xxhash64(col(row_id)).alias("id"), numbers.alias("numbers"), texts.alias("texts"), col(y).cast("string").alias("label")))
+
+    def fit(rows: pd.DataFrame) -> pd.DataFrame:
+        y = names[int(rows["target"].iloc[0])]
+        fitted = _fit_one(rows, widths[y], y in numeric, given, rebalance)
+        return pd.DataFrame({"target": [rows["target"].iloc[0]], "model": [pickle.dumps(fitted)]})
+
+    widths = {y: _widths(df, features[y]) for y in names}
+    jobs = [parts] if parallel else [[p] for p in parts]
+    for job in jobs:
+        if not job:
+            continue
+        rows = job[0]
+        for p in job[1:]:
+            rows = rows.unionByName(p)
+        for r in rows.groupBy("target").applyInPandas(fit, "target int, model binary").collect():  # trees of each target
+            y = names[r["target"]]
+            out[y] = TreeModel(y, features[y], y in numeric, pickle.loads(r["model"]))
+    return {y: out[y] for y in names}
 
 
 def dependency_order(plain: Iterable[str], dependent: dict[str, str]) -> list[str]:

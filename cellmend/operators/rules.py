@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cellmend.functions.costs import UpdateCostFunction
+from cellmend.functions.costs import Levenshtein, UpdateCostFunction
 from cellmend.functions.names import col
 from cellmend.functions.text import restored
 from cellmend.operators.domains import union_all, without_cells
@@ -24,23 +25,50 @@ def by_regexes(cells: DataFrame, row_id: str, regexes: Iterable[tuple[str, str]]
     return without_cells(cells, repaired, row_id), repaired
 
 
+def within_edits(wrong: DataFrame, clean: DataFrame, most: int) -> DataFrame:
+    """(a, w, value) of wrong values (a, w) and clean ones (a, value) that may be within `most`
+    edits: no pair within is lost, few others remain.
+
+    A clean value is cut into most + 1 segments, of which edits leave one unchanged, moved by at
+    most `most` places. So values meet by segment and length, never all with all.
+    """
+    cut = lambda n, i: F.floor(n * i / (most + 1)).cast("int")
+    numbers = F.array(*map(F.lit, range(most + 1)))
+    n = F.length("value")
+    kept = clean.select("a", "value", n.alias("n"), F.posexplode(F.transform(numbers, lambda i: F.substring("value", cut(n, i) + 1, cut(n, i + 1) - cut(n, i)))).alias("i", "segment"))
+    m = F.length("w")
+    lengths = F.sequence(F.greatest(m - most, F.lit(0)), m + most)
+
+    def pieces(size: Column, i: Column) -> Column:
+        """The places of a wrong value at which segment i of a value of that size may stand."""
+        wide = cut(size, i + 1) - cut(size, i)
+        starts = F.sequence(F.greatest(cut(size, i) - most, F.lit(0)), cut(size, i) + most)
+        return F.transform(F.filter(starts, lambda s: s + wide <= m), lambda s: F.struct(size.alias("n"), i.alias("i"), F.substring("w", s + 1, wide).alias("segment")))
+
+    asked = F.array_distinct(F.flatten(F.flatten(F.transform(lengths, lambda size: F.transform(numbers, lambda i: pieces(size, i))))))
+    looked = wrong.select("a", "w", F.explode(asked).alias("x")).select("a", "w", "x.n", "x.i", "x.segment")
+    return looked.join(kept, ["a", "n", "i", "segment"]).select("a", "w", "value").distinct()
+
+
 def by_nearest(base: DataFrame, cells: DataFrame, row_id: str, targets: Iterable[str], costs: UpdateCostFunction, threshold: float) -> tuple[DataFrame, DataFrame | None]:
     """The cells left, and repairs by the clean value of the least cost, if that is at most
-    the threshold and the next value costs more.
+    the threshold, the next value costs more, and there are two values at least.
 
     Distinct wrong values meet distinct clean values of their attribute, so copies of either
-    cost nothing; the winners go back to the cells by value.
+    cost nothing; the winners go back to the cells by value. For edit distances only values
+    that share a segment meet; a user's costs tell nothing of the kind, so there all do.
     """
     names = [t for t in targets if not costs.targets or t in costs.targets]
     if not names:
         return cells, None
     clean = union_all(base.where(col(c).isNotNull()).select(F.lit(c).alias("a"), col(c).cast("string").alias("value")).distinct() for c in names)
     wrong = cells.where(F.col("attribute").isin(names) & F.col("current_value").isNotNull()).select(F.col("attribute").alias("a"), F.col("current_value").alias("w")).distinct()
-    priced = wrong.join(clean, "a").withColumn("cost", costs.column(F.col("w"), F.col("value")))
-    first = F.min(F.struct(F.col("cost").isNull(), F.col("cost"), F.col("value")))
-    ranked = priced.groupBy("a", "w").agg(first.alias("best"), F.count("*").alias("n"), F.min("cost").alias("least"), F.expr("min_by(value, struct(cost is null, cost, value))").alias("repaired"))
-    level = priced.join(ranked.select("a", "w", "least"), ["a", "w"]).where("cost = least").groupBy("a", "w").agg(F.count("*").alias("ties"))
-    won = ranked.join(level, ["a", "w"]).where((F.col("least") <= threshold) & (F.col("ties") == 1) & (F.col("n") > 1)).select("a", "w", "repaired")
+    near = within_edits(wrong, clean, math.floor(threshold)) if isinstance(costs, Levenshtein) and threshold >= 0 else wrong.join(clean, "a")
+    priced = near.withColumn("cost", costs.column(F.col("w"), F.col("value"))).where(F.col("cost") <= threshold)
+    # The values of the least cost, of which there must be one only.
+    least = priced.groupBy("a", "w", "cost").agg(F.min("value").alias("value"), F.count("*").alias("ties")).groupBy("a", "w").agg(F.min(F.struct("cost", "ties", "value")).alias("x"))
+    several = clean.groupBy("a").agg(F.count("*").alias("n")).where("n > 1").select("a")
+    won = least.where("x.ties = 1").join(several, "a", "left_semi").select("a", "w", F.col("x.value").alias("repaired"))
     repaired = cells.join(won, (F.col("attribute") == F.col("a")) & (F.col("current_value") == F.col("w"))).select(col(row_id), *UPDATES)
     return without_cells(cells, repaired, row_id), repaired
 

@@ -7,7 +7,7 @@ import logging
 import math
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cellmend.functions.names import col
@@ -15,6 +15,8 @@ from cellmend.sources.tables import CONTINUOUS
 
 logger = logging.getLogger("cellmend")
 
+#: Values whose quantiles one task merges, and that are listed on the driver.
+EXACT_ROWS, LISTED = 1_000_000, 10_000
 FREQ_FLAG = "__generated_freq_group_"
 MOST_ATTRS = 64
 
@@ -42,6 +44,75 @@ def extremes(df: DataFrame, columns: Iterable[str]) -> dict[str, tuple]:
     return {c: (row[2 * i], row[2 * i + 1]) for i, c in enumerate(names)}
 
 
+def quantiles(df: DataFrame, values: dict[str, Column], shares: list[float]) -> dict[str, list[float] | None]:
+    """The exact quantiles of each column of numbers, interpolated between neighbours; None of no
+    values.
+
+    A table of up to EXACT_ROWS values is merged as it is. In a larger one each wanted rank is
+    enclosed between two approximate quantiles, again and again among the values between them,
+    until few enough are left to be listed: no task merges all values.
+    """
+    names = list(values)
+    if not names:
+        return {}
+    plain = df.select(*(x.cast("double").alias(f"v{i}") for i, x in enumerate(values.values())))
+    counts = plain.agg(*(F.count(f"v{i}") for i in range(len(names)))).first()
+    if max(counts) <= EXACT_ROWS:
+        row = plain.agg(*(F.percentile(f"v{i}", F.array(*map(F.lit, shares))).alias(f"q{i}") for i in range(len(names)))).first()
+        return {c: (list(q) if q is not None else None) for c, q in zip(names, row, strict=True)}
+    ranks = {i: sorted({r for s in shares for r in (math.floor(s * (n - 1)), math.ceil(s * (n - 1)))}) for i, n in enumerate(counts) if n}
+    found = ranked(plain, {(f"v{i}", r): n for i, n in enumerate(counts) if n for r in ranks[i]})
+    out: dict[str, list[float] | None] = {}
+    for i, c in enumerate(names):
+        at = lambda s, i=i: s * (counts[i] - 1)
+        own = lambda r, i=i: found[f"v{i}", r]
+        out[c] = [own(math.floor(at(s))) + (at(s) - math.floor(at(s))) * (own(math.ceil(at(s))) - own(math.floor(at(s)))) for s in shares] if counts[i] else None
+    return out
+
+
+def ranked(df: DataFrame, wanted: dict[tuple[str, int], int]) -> dict[tuple[str, int], float]:
+    """The values of (column, rank from 0), each with its column's number of values."""
+    found: dict[tuple[str, int], float] = {}
+    #: Of each: the least and largest value that it can be, and the values below and between.
+    open_ = {k: (None, None, 0, n) for k, n in wanted.items()}
+    between = lambda c, low, high: F.lit(True) if low is None else (F.col(c) >= low) & (F.col(c) <= high)
+    while open_:
+        keys = list(open_)
+        bounds = []
+        for c, r in keys:
+            low, high, below, inside = open_[c, r]
+            share = (r - below) / max(1, inside - 1)
+            inner = F.when(between(c, low, high), F.col(c))
+            bounds.append(F.percentile_approx(inner, F.array(F.lit(max(0.0, share - 0.001)), F.lit(min(1.0, share + 0.001))), 2000))
+        rows = df.agg(*(b.alias(f"b{j}") for j, b in enumerate(bounds))).first()
+        # A float's quantile may be off by the sketch's error, so what is enclosed is counted.
+        sides = [x for (c, r), (low, high) in zip(keys, rows, strict=True) for x in (F.count(F.when(F.col(c) < low, 1)), F.count(F.when(F.col(c) <= high, 1)))]
+        told = df.agg(*(x.alias(f"n{j}") for j, x in enumerate(sides))).first()
+        few: list[tuple[str, int]] = []
+        for j, (c, r) in enumerate(keys):
+            below, upto = told[2 * j], told[2 * j + 1]
+            low, high = rows[j]
+            if not below <= r < upto:
+                few.append((c, r))  # missed: what was open before is listed
+            elif low == high:
+                found[c, r] = low
+                del open_[c, r]
+            else:
+                shrunk = upto - below < open_[c, r][3]
+                open_[c, r] = (low, high, below, upto - below)
+                if upto - below <= LISTED or not shrunk:
+                    few.append((c, r))
+        for c, r in few:
+            low, high, below, _ = open_.pop((c, r))
+            at = below
+            for value, n in df.where(between(c, low, high) & F.col(c).isNotNull()).groupBy(c).count().orderBy(c).toLocalIterator():
+                at += n
+                if at > r:
+                    found[c, r] = value
+                    break
+    return found
+
+
 def discretize(df: DataFrame, row_id: str, threshold: int, approx: bool = False) -> tuple[DataFrame, dict[str, int]]:
     """S3: the row id and the discrete columns, and all columns' numbers of distinct values.
 
@@ -50,10 +121,7 @@ def discretize(df: DataFrame, row_id: str, threshold: int, approx: bool = False)
     more than one and at most `threshold` values.
     """
     kinds = {c: kind for c, kind in df.dtypes if c != row_id}
-    # Sketches tell the columns whose exact count can matter; only these are shuffled.
-    sizes = distinct_counts(df, kinds, approx=True)
-    if not approx:
-        sizes |= distinct_counts(df, [c for c, n in sizes.items() if n <= 2 * max(threshold, 1000)])
+    sizes = distinct_counts(df, kinds, approx)
     bounds = extremes(df, [c for c, kind in kinds.items() if kind in CONTINUOUS])
     kept = [col(row_id)]
     for c, kind in kinds.items():

@@ -8,6 +8,7 @@ shapes that have a linear plan are recognised (R1 to R4) before Catalyst sees th
 
 from __future__ import annotations
 
+import itertools
 import logging
 import re
 from collections.abc import Iterable
@@ -17,13 +18,18 @@ from operator import and_
 from pathlib import Path
 from urllib.parse import urlparse
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cellmend.functions.names import col
 
 logger = logging.getLogger("cellmend")
 
+#: Columns that must differ together, up to which subsets are counted.
+MOST_UNEQUAL = 4
+#: Rows that are ordered in one task, and ranges of values into which more are cut at most.
+PART_ROWS, CUTS = 100_000, 200
+
 _PREDICATE = re.compile(r"\s*(EQ|IQ|LT|GT)\s*\((.*)\)\s*", re.S)
 _REFERENCE = re.compile(r"\s*([A-Za-z][A-Za-z0-9]*)\s*\.\s*(.+?)\s*", re.S)
 _TUPLE = re.compile(r"\s*([A-Za-z][A-Za-z0-9]*)\s*")
@@ -102,12 +108,17 @@ def _predicate(part: str, names: list[str], text: str) -> Predicate:
 
 
 def read_file(path: str) -> list[str]:
-    """A constraint in each line of a local file; none, with a warning, if there is no file."""
-    place = Path(urlparse(path).path if path.startswith("file:") else path)
-    if not place.is_file():
-        logger.warning("No constraint file at %s", path)
-        return []
-    return [x.strip() for x in place.read_text().splitlines() if x.strip()]
+    """A constraint in each line of a file, local or in any storage that Spark reads; none,
+    with a warning, if there is no file."""
+    if urlparse(path).scheme not in ("", "file"):
+        text = "".join(r[0] for r in SparkSession.active().read.text(path, wholetext=True).collect())
+    else:
+        place = Path(urlparse(path).path if path.startswith("file:") else path)
+        if not place.is_file():
+            logger.warning("No constraint file at %s", path)
+            return []
+        text = place.read_text()
+    return [x.strip() for x in text.splitlines() if x.strip()]
 
 
 def split_inline(text: str) -> list[str]:
@@ -154,12 +165,13 @@ def violating_rows(df: DataFrame, constraint: Constraint) -> DataFrame:
     rest = [p for p in ps if p.sign != "EQ"]
     if not rest:
         return _matching(df, df, keys, [])
-    if len(rest) == 1 and keys:
-        if rest[0].sign == "IQ" and rest[0].left == rest[0].right and all(p.left == p.right for p in keys):
-            return _unequal(df, [p.left for p in keys], rest[0].left)
-        if rest[0].sign in ("LT", "GT"):
-            return _beyond_extreme(df, keys, rest[0])
-    if len(rest) == 2 and keys and all(p.sign in ("LT", "GT") for p in rest):
+    if len(rest) == 1 and rest[0].sign in ("LT", "GT"):
+        return _beyond_extreme(df, keys, rest[0])
+    if len(rest) == 1 and keys and all(p.left == p.right for p in ps):
+        return _unequal(df, [p.left for p in keys], rest[0].left)
+    if all(p.sign == "IQ" for p in rest) and len(rest) <= MOST_UNEQUAL:
+        return _apart(df, keys, rest)
+    if len(rest) == 2 and all(p.sign in ("LT", "GT") for p in rest):
         return _dominated(df, keys, rest)
     return _matching(df, df, keys, rest)
 
@@ -184,27 +196,85 @@ def _unequal(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     return df.join(bad, _same(keys, "__k"), "left_semi")
 
 
+def _apart(df: DataFrame, keys: list[Predicate], unequal: list[Predicate]) -> DataFrame:
+    """R2 of several columns: whether the key has a row that differs in all of them, null being
+    a value, by inclusion and exclusion over counts of distinct right values.
+
+    Linear: one count for each subset of the columns, instead of pairs of a key's rows.
+    """
+    names = list(dict.fromkeys(p.left for p in (*keys, *unequal)))
+    k, v = range(len(keys)), range(len(unequal))
+    rights = df.select(*_keyed(df, [p.right for p in keys], "__k"), *_keyed(df, [p.right for p in unequal], "__v")).distinct()
+    lefts = df.select(*_keyed(df, names, "__l")).distinct()
+    of = {n: F.col(f"__l{i}") for i, n in enumerate(names)}
+    total = F.lit(0)
+    for number, subset in enumerate(s for size in range(len(unequal) + 1) for s in itertools.combinations(v, size)):
+        by = [*(f"__k{i}" for i in k), *(f"__v{i}" for i in subset)]
+        n = f"__n{number}"
+        if not by:
+            lefts = lefts.withColumn(n, F.lit(rights.count()))
+        else:
+            counts = rights.groupBy(*by).agg(F.count("*").alias(n)).select(n, *(F.col(c).alias(f"__c{i}") for i, c in enumerate(by)))
+            own = [*(of[keys[i].left] for i in k), *(of[unequal[i].left] for i in subset)]
+            lefts = lefts.join(counts, reduce(and_, (x.eqNullSafe(F.col(f"__c{i}")) for i, x in enumerate(own))), "left").drop(*(f"__c{i}" for i in range(len(by))))
+        total = total + (-1) ** len(subset) * F.coalesce(n, F.lit(0))
+    bad = lefts.where(total > 0).select(*of.values())
+    return df.join(bad, reduce(and_, (col(n).eqNullSafe(x) for n, x in of.items())), "left_semi")
+
+
 def _beyond_extreme(df: DataFrame, keys: list[Predicate], order: Predicate) -> DataFrame:
-    """Some right value is beyond the left one if the key's extreme is."""
+    """Some right value is beyond the left one if the key's extreme is; without a key, the
+    table's."""
     extreme = (F.max if order.sign == "LT" else F.min)(col(order.right)).alias("__extreme")
+    if not keys:
+        return df.where(order.holds(col(order.left), F.lit(df.agg(extreme).first()[0])))
     per_key = df.groupBy(*_keyed(df, [p.right for p in keys], "__k")).agg(extreme).where("__extreme is not null")
     return df.join(per_key, _same([p.left for p in keys], "__k") & order.holds(col(order.left), F.col("__extreme")), "left_semi")
 
 
+def _cuts(points: DataFrame) -> list:
+    """Ascending values of `__a` that cut the points into about CUTS parts of like size; none
+    of few points."""
+    n = points.count()
+    if n <= PART_ROWS:
+        return []
+    parts = min(CUTS, n // PART_ROWS + 1)
+    share = max(1, n // (100 * parts))  # about 100 sampled points of a part, at any size
+    sample = [r[0] for r in points.where(F.pmod(F.xxhash64("__a", F.lit(1)), F.lit(share)) == 0).select("__a").distinct().orderBy("__a").collect()]
+    return sorted(set(sample[len(sample) * i // parts] for i in range(1, parts))) if sample else []
+
+
 def _dominated(df: DataFrame, keys: list[Predicate], orders: list[Predicate]) -> DataFrame:
-    """Two orders. Distinct left values and, for each first right value, the most
-    favourable second one go through a running extreme over the key's values."""
+    """Two orders. For each key and first value, the most favourable second value strictly
+    beyond it, by a running extreme.
+
+    Only one row for each key and first value is ordered. The values are cut into ranges: the
+    extreme runs within each range, and what the ranges before have is carried into it. So
+    neither a frequent key nor the absence of one puts all rows into one task.
+    """
     first, second = orders
-    n = range(len(keys))
+    names = [f"__k{i}" for i in range(len(keys))]
     lefts = df.select(*_keyed(df, [p.left for p in keys], "__k"), col(first.left).alias("__a"), col(second.left).alias("__b")).where("__a is not null and __b is not null").distinct()
-    best = F.max if second.sign == "LT" else F.min
+    best, better = (F.max, F.greatest) if second.sign == "LT" else (F.min, F.least)
     rights = df.where(col(first.right).isNotNull() & col(second.right).isNotNull()).groupBy(*_keyed(df, [p.right for p in keys], "__k"), col(first.right).alias("__a")).agg(best(col(second.right)).alias("__best"))
-    both = lefts.withColumn("__best", F.lit(None)).withColumn("__side", F.lit(0)).unionByName(rights.withColumn("__b", F.lit(None)).withColumn("__side", F.lit(1)))
+    asked = lefts.select(*names, "__a").distinct().withColumn("__best", F.lit(None)).withColumn("__side", F.lit(0))
+    points = asked.unionByName(rights.withColumn("__side", F.lit(1)))
+    cuts = _cuts(points)
+    part = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c <= F.col("__a"))) if cuts else F.lit(0)
+    points = points.withColumn("__part", part)
+    down = first.sign == "LT"
+    ordered = lambda c: F.col(c).desc() if down else F.col(c).asc()
     # Rights strictly beyond a left value come before it, lefts come first among equals.
-    by_value = F.col("__a").desc() if first.sign == "LT" else F.col("__a").asc()
-    window = Window.partitionBy(*(f"__k{i}" for i in n)).orderBy(by_value, "__side").rowsBetween(Window.unboundedPreceding, -1)
-    found = both.withColumn("__run", best("__best").over(window)).where("__side = 0").where(second.holds(F.col("__b"), F.col("__run")))
-    bad = found.select(*(f"__k{i}" for i in n), "__a", "__b")
+    within = Window.partitionBy(*names, "__part").orderBy(ordered("__a"), "__side").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy(*names).orderBy(ordered("__part")).rowsBetween(Window.unboundedPreceding, -1)
+    carried = points.groupBy(*names, "__part").agg(best("__best").alias("__own")).withColumn("__carried", best("__own").over(before))
+    carried = carried.select(*(F.col(c).alias(f"{c}_c") for c in names), F.col("__part").alias("__part_c"), "__carried")
+    found = points.withColumn("__run", best("__best").over(within)).where("__side = 0")
+    same_part = reduce(and_, (F.col(c).eqNullSafe(F.col(f"{c}_c")) for c in names), F.col("__part") == F.col("__part_c"))
+    found = found.join(carried, same_part).withColumn("__run", better("__run", "__carried")).where("__run is not null")
+    found = found.select(*(F.col(c).alias(f"{c}_f") for c in names), F.col("__a").alias("__a_f"), "__run")
+    same_value = reduce(and_, (F.col(c).eqNullSafe(F.col(f"{c}_f")) for c in names), F.col("__a") == F.col("__a_f"))
+    bad = lefts.join(found, same_value).where(second.holds(F.col("__b"), F.col("__run"))).select(*names, "__a", "__b")
     return df.join(bad, _same([p.left for p in keys], "__k") & (col(first.left) == F.col("__a")) & (col(second.left) == F.col("__b")), "left_semi")
 
 

@@ -2,7 +2,9 @@
 
 The builder's setters check their arguments; `run` validates the mode, detects error cells,
 prunes them by weak labels, clears them, and repairs them by rules and models. Everything is
-composed of DataFrames; what is used more than once is persisted and released at the end.
+composed of DataFrames. Error cells, the rows that hold them and what is predicted of them are
+written to the shared folder where more than one plan uses them; nothing is persisted, and the
+table itself is never copied.
 """
 
 from __future__ import annotations
@@ -21,6 +23,7 @@ from cellmend.functions.names import col
 from cellmend.operators import detectors as d
 from cellmend.operators import domains, misc, models, rules, stats
 from cellmend.plans.constraints import functional_dependencies
+from cellmend.session import cut
 from cellmend.sources.tables import check_input, need_columns, resolve
 
 logger = logging.getLogger("cellmend")
@@ -78,8 +81,8 @@ def repair_scores(pmf: DataFrame, row_id: str, costs: UpdateCostFunction) -> Dat
 def best_scored(scores: DataFrame, delta: int, cells: int) -> DataFrame:
     """The repairs whose score is at least the percentile that leaves `delta` of them."""
     share = min(1.0, 1.0 - delta / max(1, cells))
-    threshold = scores.agg(F.percentile("score", F.lit(max(0.0, share)))).first()[0]
-    return scores.where(F.col("score") >= F.lit(threshold)).drop("score") if threshold is not None else scores.limit(0).drop("score")
+    found = stats.quantiles(scores, {"score": F.col("score")}, [max(0.0, share)])["score"]
+    return scores.where(F.col("score") >= F.lit(found[0])).drop("score") if found is not None else scores.limit(0).drop("score")
 
 
 class ErrorModel:
@@ -90,15 +93,6 @@ class ErrorModel:
         self.targets = [c for c in df.columns if c != row_id and (not list(targets) or c in set(targets))]
         self.discrete_threshold, self.given, self.options = discrete_threshold, cells, options or {}
         self.detectors = list(detectors)
-        self.held: list[DataFrame] = []
-
-    def hold(self, df: DataFrame) -> DataFrame:
-        self.held.append(df.persist())
-        return df
-
-    def release(self) -> None:
-        while self.held:
-            self.held.pop().unpersist()
 
     def noisy_cells(self) -> DataFrame:
         """All flagged cells with their current values."""
@@ -110,7 +104,7 @@ class ErrorModel:
     def detect(self) -> tuple[DataFrame, list[str], dict[str, list[tuple[str, float]]], dict[str, int], DataFrame | None]:
         """(error cells, repairable columns, entropies, domain sizes, discretized table)."""
         value = lambda option: option.value(self.options)
-        cells = self.hold(self.noisy_cells())
+        cells = cut(self.noisy_cells())
         noisy = sorted(r[0] for r in cells.select("attribute").distinct().collect())  # as many as columns
         if not noisy:
             return cells, [], {}, {}, None
@@ -118,14 +112,13 @@ class ErrorModel:
         usable = [c for c in noisy if c in discrete.columns]
         if not usable:
             return cells, [], {}, sizes, discrete
-        discrete = self.hold(discrete)
         kept_sizes = {c: sizes[c] for c in discrete.columns if c != self.row_id}
         pairs = stats.candidate_pairs(discrete, usable, kept_sizes, value(o.PAIR_FREQ_RATIO), value(o.MAX_PAIR_ATTRS))
         entropies = {y: [] for y in usable} | stats.conditional_entropies(discrete, pairs, kept_sizes, value(o.ATTR_FREQ_RATIO))
         if self.given is None:
             correlated = {y: [x for x, _ in xs[: value(o.MAX_DOMAIN_ATTRS)]] for y, xs in entropies.items()}
             found = domains.cell_domains(discrete, cells.where(F.col("attribute").isin(usable)), self.row_id, correlated, kept_sizes, self.continuous, value(o.DOMAIN_ALPHA), value(o.DOMAIN_BETA), value(o.ATTR_FREQ_RATIO))
-            cells = self.hold(domains.without_cells(cells, domains.weak_labels(found, self.row_id), self.row_id))
+            cells = cut(domains.without_cells(cells, domains.weak_labels(found, self.row_id), self.row_id))
         return cells, usable, entropies, sizes, discrete
 
 
@@ -146,12 +139,6 @@ class RepairModel:
         self.repair_delta: int | None = None
         self.cf: UpdateCostFunction | None = None
         self.opts: dict[str, str] = {}
-        self._errors: list[ErrorModel] = []
-
-    def release(self) -> None:
-        """Lets go of what earlier runs persisted; their results stay valid."""
-        while self._errors:
-            self._errors.pop().release()
 
     # Setters; the names are those that users of such models know.
 
@@ -271,7 +258,6 @@ class RepairModel:
         row_id = self.row_id
         given = resolve(SparkSession.active(), self.error_cells) if self.error_cells is not None else None
         errors = ErrorModel(df, row_id, continuous, self.targets, self.discrete_threshold, self.error_detectors, given, self.opts)
-        self._errors.append(errors)
         cells, targets, entropies, sizes, discrete = errors.detect()
         if detect_only:
             return cells
@@ -280,20 +266,19 @@ class RepairModel:
             return df if whole else cells.withColumn("repaired", F.lit(None).cast("string")).limit(0)
         if not targets:
             raise ValueError("At least one valid discretizable feature is needed to repair error cells, but no such feature found")
-        cells = errors.hold(domains.of_columns(cells, targets))
+        cells = cut(domains.of_columns(cells, targets))
         n_cells = cells.count()
         base = domains.repair_base(df, cells, row_id, targets, "__dirty")
         by_rule = None
         if self.by_rules:
             cells, by_rule = self._by_rules(base, cells, targets)
             if by_rule is not None:
-                by_rule = errors.hold(by_rule)
+                by_rule = cut(by_rule)
                 base = misc.apply_updates(by_rule, base, row_id)
-        marked = errors.hold(base)
         # The mark saves two joins by row id. Rows that rules have mended stay among the dirty
         # ones, where nothing is left to fill.
-        base = marked.drop("__dirty")
-        clean, dirty = (marked.where(F.col("__dirty") == x).drop("__dirty") for x in (False, True))
+        clean, dirty = (base.where(F.col("__dirty") == x).drop("__dirty") for x in (False, True))
+        base, dirty = base.drop("__dirty"), cut(dirty)
         pmf, filled = self._predicted(base, dirty, cells, targets, continuous, entropies, sizes, discrete)
         if with_pmf and not likely:
             done = finished_pmf(pmf(), row_id, self._value(o.PROB_THRESHOLD), self._value(o.PROB_TOP_K))
@@ -305,7 +290,7 @@ class RepairModel:
             scores = repair_scores(finished_pmf(pmf(), row_id, self._value(o.PROB_THRESHOLD), self._value(o.PROB_TOP_K)), row_id, self.cf)
             if scores_only:
                 return scores
-            best = best_scored(errors.hold(scores), self.repair_delta, n_cells)
+            best = best_scored(cut(scores), self.repair_delta, n_cells)
             if not whole:
                 return best
             return misc.apply_updates(best, df, row_id)  # cells that aren't chosen keep their values
@@ -366,38 +351,56 @@ class RepairModel:
 
         def counted() -> models.CountingModel:
             if "model" not in cache:
-                source = tables()
-                if self.rebalancing and len(names) == 1:
-                    source = models.rebalanced(source, names[0])
-                cache["model"] = models.fit_counting(source, names, features, self._value(o.SMOOTHING))
+                cache["model"] = models.fit_counting(tables(), names, features, self._value(o.SMOOTHING), self.rebalancing)
             return cache["model"]
 
         def trees(ys: list[str]) -> dict:
             key = ",".join(ys)
             if key not in cache:
-                cache[key] = models.fit_trees(base, ys, features, continuous, sizes, self.opts, self.parallel, self.rebalancing)
+                cache[key] = models.fit_trees(base, row_id, ys, features, continuous, self.opts, self.parallel, self.rebalancing)
             return cache[key]
 
+        def chained(rows: DataFrame, own: DataFrame, one) -> list[DataFrame]:
+            """The probabilities of cells `own` of `rows` by target, each from the rows in which
+            those before are filled with their best values."""
+            parts = []
+            for y in names:
+                found = cut(one(y, rows, own.where(F.col("attribute") == y)))
+                parts.append(found)
+                best = found.select(col(row_id).alias("__id"), F.get("pmf", 0)["class"].alias("__best"))
+                rows = cut(rows.join(best, col(row_id) == F.col("__id"), "left").select(*(F.coalesce(col(c), F.col("__best").cast(rows.schema[c].dataType)).alias(c) if c == y else col(c) for c in rows.columns)))
+            return parts
+
+        def of_trees(y: str, rows: DataFrame, own: DataFrame) -> DataFrame:
+            model = trees(names)[y]
+            met = own.join(rows.withColumnRenamed(row_id, "__id"), col(row_id) == F.col("__id"))
+            if isinstance(model, models.PoorModel):
+                value = F.lit(model.value).cast("string")
+                pmf = F.when(value.isNotNull(), F.array(F.struct(value.alias("class"), F.lit(1.0).alias("prob")))).otherwise(F.array().cast("array<struct<class: string, prob: double>>"))
+                return met.select(col(row_id), "attribute", "current_value", pmf.alias("pmf"))
+            return model.predict(met).select(col(row_id), "attribute", "current_value", F.col("__pmf").alias("pmf"))
+
         def pmf_of(ys: list[str]) -> DataFrame | None:
             if not ys:
                 return None
-            if counting:
-                return counted().pmf(tables(), cells, row_id)
-            parts = []
-            for y, model in trees(ys).items():
-                own = cells.where(F.col("attribute") == y).select(col(row_id), "attribute", "current_value")
-                rows = own.join(dirty.withColumnRenamed(row_id, "__id"), col(row_id) == F.col("__id"))
-                if isinstance(model, models.PoorModel):
-                    value = F.lit(model.value).cast("string")
-                    parts.append(rows.select(col(row_id), "attribute", "current_value", F.when(value.isNotNull(), F.array(F.struct(value.alias("class"), F.lit(1.0).alias("prob")))).otherwise(F.array().cast("array<struct<class: string, prob: double>>")).alias("pmf")))
+            if "pmf" not in cache:
+                own = cells.where(F.col("attribute").isin(names)).select(col(row_id), "attribute", "current_value")
+                if not counting:
+                    cache["pmf"] = domains.union_all(chained(dirty, own, of_trees))
+                elif len(names) == 1:
+                    cache["pmf"] = counted().pmf(tables(), own, row_id)
                 else:
-                    done = model.predict(rows)
-                    parts.append(done.select(col(row_id), "attribute", "current_value", F.col("__pmf").alias("pmf")))
-            return domains.union_all(parts)
+                    # Rows of one error are predicted together; those of several, target by target.
+                    several = own.groupBy(col(row_id)).agg(F.count("*").alias("n")).where("n > 1").select(col(row_id))
+                    rows = tables().join(several, row_id, "left_semi")
+                    first = counted().pmf(tables(), own.join(several, row_id, "left_anti"), row_id)
+                    later = chained(rows, own.join(several, row_id, "left_semi"), lambda y, r, c: counted().pmf(r, c, row_id))
+                    cache["pmf"] = domains.union_all([first, *later])
+            return cache["pmf"]
 
         def statistical() -> DataFrame:
             out = dirty
-            found = pmf_of(names)
+            found = pmf_of(names) if names else None
             if found is not None:
                 best = found.select(col(row_id), "attribute", F.get("pmf", 0)["class"].alias("repaired"))
                 out = misc.apply_updates(best, out, row_id)

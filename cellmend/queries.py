@@ -494,7 +494,7 @@ def repair_trees_part(spark, sf):
 
 @query("repair_forest_orders")
 def repair_forest_orders(spark, sf):
-    return _null_model(spark, sf).option("model.engine", "mllib").option("model.lgb.n_estimators", "5").run()
+    return _null_model(spark, sf).option("model.engine", "boosting").option("model.lgb.n_estimators", "5").run()
 
 
 @query("detect_errors_only_orders", f"SELECT o_orderkey, 'o_orderpriority' AS attribute, CAST(NULL AS VARCHAR) AS current_value FROM {table('texts')} WHERE o_orderpriority IS NULL")

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED: set[str] = set()
 
@@ -27,3 +28,17 @@ def ship_package(spark: SparkSession) -> None:
             z.write(p, Path(here.name) / p.relative_to(here))
     context.addPyFile(str(target))
     _SHIPPED.add(context.applicationId)
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df, written to the shared folder of `spark.checkpoint.dir` and read from there.
+
+    Only a session on one machine that names no folder gets a temporary one.
+    """
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        named = context.getConf().get("spark.checkpoint.dir", None)
+        if not named and not re.match(r"local(\[|$)", context.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp("checkpoints"))
+    return df.checkpoint(eager=True)

@@ -41,15 +41,22 @@ SHAPES = [
     "t1&t2&EQ(t1.k,t2.k)&GT(t1.a,t2.b)&GT(t1.b,t2.a)",
     "t1&t2&EQ(t1.k,t2.k)&IQ(t1.a,t2.a)&IQ(t1.b,t2.b)",
     "t1&t2&EQ(t1.k,t2.a)&LT(t1.a,t2.b)&IQ(t1.b,t2.k)",
+    "t1&t2&EQ(t1.k,t2.a)&IQ(t1.a,t2.b)&IQ(t1.b,t2.k)",
+    "t1&t2&LT(t1.a,t2.a)&GT(t1.b,t2.b)",
+    "t1&t2&GT(t1.a,t2.b)&GT(t1.b,t2.k)",
+    "t1&t2&IQ(t1.a,t2.a)&IQ(t1.b,t2.b)",
+    "t1&t2&IQ(t1.k,t2.k)&IQ(t1.a,t2.b)&IQ(t1.b,t2.b)",
     "t1&EQ(t1.k,1)&GT(t1.a,0)",
 ]
 SIGNS = {"EQ": lambda x, y: x == y, "IQ": lambda x, y: x != y, "LT": lambda x, y: x is not None and y is not None and x < y, "GT": lambda x, y: x is not None and y is not None and x > y}
 values = st.one_of(st.none(), st.integers(0, 3))
 
 
-@settings(max_examples=4, deadline=None, suppress_health_check=list(HealthCheck))
+@pytest.mark.parametrize("rows_of_part", [100_000, 2])
+@settings(max_examples=1, deadline=None, suppress_health_check=list(HealthCheck))
 @given(rows=st.lists(st.tuples(values, values, values), max_size=14))
-def test_rewrites_equal_the_definition(spark, rows):
+def test_rewrites_equal_the_definition(spark, rows_of_part, rows):
+    dc.PART_ROWS = rows_of_part
     df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "id int, k int, a int, b int").coalesce(1).cache()
     for text in SHAPES:
         constraint = dc.parse(text)
@@ -58,9 +65,29 @@ def test_rewrites_equal_the_definition(spark, rows):
         expected = [(i,) for i, x in enumerate(rows) if any(all(holds(p, x, y) for p in constraint.predicates) for y in rows)]
         assert cells(dc.violating_rows(df, constraint).select("id")) == sorted(expected, key=repr), text
     df.unpersist()
+    dc.PART_ROWS = 100_000
 
 
-def test_dependencies_plan_without_quadratic_joins(spark):
-    df = spark.range(10).selectExpr("id", "id % 3 k", "id % 2 a")
-    plan = dc.violating_rows(df, dc.parse("k->a"))._jdf.queryExecution().executedPlan().toString()
+@pytest.mark.parametrize("text", [*SHAPES[:7], *SHAPES[9:12]])
+def test_plans_without_quadratic_joins(spark, text):
+    df = spark.range(10).selectExpr("id", "id % 3 k", "id % 2 a", "id % 5 b")
+    plan = dc.violating_rows(df, dc.parse(text))._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_keyless_orders_of_many_rows(spark, monkeypatch):
+    """Ranges of values, with what is carried into them, against a sort."""
+    import random
+
+    monkeypatch.setattr(dc, "PART_ROWS", 50)
+    rand = random.Random(3)
+    rows = [(i, rand.randrange(300), rand.randrange(1000)) for i in range(2000)]
+    df = spark.createDataFrame(rows, "id int, a int, b int")
+    found = {r["id"] for r in dc.violating_rows(df, dc.parse("t1&t2&LT(t1.a,t2.a)&GT(t1.b,t2.b)")).collect()}
+    assert found == {i for i, a, b in rows if any(a < x and b > y for _, x, y in rows)}
+
+
+def test_constraint_files(spark, tmp_path):
+    (tmp_path / "c.txt").write_text("k->a\n\n k->b \n")
+    assert dc.read_file(str(tmp_path / "c.txt")) == dc.read_file(f"file://{tmp_path}/c.txt") == ["k->a", "k->b"]
+    assert dc.read_file(str(tmp_path / "none.txt")) == []
