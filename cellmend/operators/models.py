@@ -29,7 +29,6 @@ from cellmend.session import ship_package
 from cellmend.sources.tables import CONTINUOUS, INTEGRAL
 
 logger = logging.getLogger("cellmend")
-SEED = 42
 
 
 @dataclass
@@ -145,18 +144,6 @@ def select_features(y: str, columns: Iterable[str], entropies: list[tuple[str, f
     return [x for x, _ in entropies if x in names][: max(2, most)]
 
 
-def rebalanced(df: DataFrame, y: str) -> DataFrame:
-    """Classes brought to the median class size: larger ones sampled, smaller ones repeated."""
-    sizes = {r[0]: r[1] for r in df.where(col(y).isNotNull()).groupBy(col(y)).count().collect()}  # as many as classes
-    if len(sizes) < 2:
-        return df
-    ordered = sorted(sizes.values())
-    middle = (ordered[(len(ordered) - 1) // 2] + ordered[len(ordered) // 2]) / 2
-    share = F.create_map(*(x for k, n in sizes.items() for x in (F.lit(k), F.lit(middle / n))))
-    copies = F.floor(F.element_at(share, col(y)) + F.rand(SEED)).cast("int")
-    return df.where(col(y).isNotNull()).withColumn("__copies", copies).where("__copies > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).drop("__copies", "__copy")
-
-
 def class_deviation(df: DataFrame, y: str) -> float:
     """The standard deviation of the class sizes."""
     return df.where(col(y).isNotNull()).groupBy(col(y)).count().agg(F.stddev_pop("count")).first()[0] or 0.0

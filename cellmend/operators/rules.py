@@ -46,7 +46,7 @@ def within_edits(wrong: DataFrame, clean: DataFrame, most: int) -> DataFrame:
         return F.transform(F.filter(starts, lambda s: s + wide <= m), lambda s: F.struct(size.alias("n"), i.alias("i"), F.substring("w", s + 1, wide).alias("segment")))
 
     asked = F.array_distinct(F.flatten(F.flatten(F.transform(lengths, lambda size: F.transform(numbers, lambda i: pieces(size, i))))))
-    looked = wrong.select("a", "w", F.explode(asked).alias("x")).select("a", "w", "x.n", "x.i", "x.segment")
+    looked = wrong.select("a", "w", F.inline(asked))
     return looked.join(kept, ["a", "n", "i", "segment"]).select("a", "w", "value").distinct()
 
 
@@ -61,14 +61,15 @@ def by_nearest(base: DataFrame, cells: DataFrame, row_id: str, targets: Iterable
     names = [t for t in targets if not costs.targets or t in costs.targets]
     if not names:
         return cells, None
-    clean = union_all(base.where(col(c).isNotNull()).select(F.lit(c).alias("a"), col(c).cast("string").alias("value")).distinct() for c in names)
+    values = F.array(*(F.struct(F.lit(c).alias("a"), col(c).cast("string").alias("value")) for c in names))
+    clean = base.select(F.inline(values)).where("value is not null").distinct()
     wrong = cells.where(F.col("attribute").isin(names) & F.col("current_value").isNotNull()).select(F.col("attribute").alias("a"), F.col("current_value").alias("w")).distinct()
     near = within_edits(wrong, clean, math.floor(threshold)) if isinstance(costs, Levenshtein) and threshold >= 0 else wrong.join(clean, "a")
     priced = near.withColumn("cost", costs.column(F.col("w"), F.col("value"))).where(F.col("cost") <= threshold)
     # The values of the least cost, of which there must be one only.
     least = priced.groupBy("a", "w", "cost").agg(F.min("value").alias("value"), F.count("*").alias("ties")).groupBy("a", "w").agg(F.min(F.struct("cost", "ties", "value")).alias("x"))
     several = clean.groupBy("a").agg(F.count("*").alias("n")).where("n > 1").select("a")
-    won = least.where("x.ties = 1").join(several, "a", "left_semi").select("a", "w", F.col("x.value").alias("repaired"))
+    won = least.where("x.ties = 1").join(several, "a").select("a", "w", F.col("x.value").alias("repaired"))
     repaired = cells.join(won, (F.col("attribute") == F.col("a")) & (F.col("current_value") == F.col("w"))).select(col(row_id), *UPDATES)
     return without_cells(cells, repaired, row_id), repaired
 

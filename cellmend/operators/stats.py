@@ -176,8 +176,8 @@ def candidate_pairs(df: DataFrame, targets: Iterable[str], sizes: dict[str, int]
     if not crowded:
         return pairs
     unordered = sorted({tuple(sorted(p)) for p in crowded})
-    row = df.agg(*(F.approx_count_distinct(F.struct(col(a), col(b))) for a, b in unordered)).first()
-    share = {p: n / max(1, sizes[p[0]] * sizes[p[1]]) for p, n in zip(unordered, row, strict=True)}
+    counted = {r["set"]: r["count"] for r in long_counts(df, unordered).groupBy("set").count().collect()}
+    share = {p: counted.get(i, 0) / max(1, sizes[p[0]] * sizes[p[1]]) for i, p in enumerate(unordered)}
     out = []
     for y, group in itertools.groupby(crowded, key=lambda p: p[0]):
         near = sorted((share[tuple(sorted(p))], p[1]) for p in group)

@@ -34,6 +34,8 @@ FRAMES = {
     "prices": ("part", "p_partkey, p_brand, p_type, p_size, p_retailprice + (p_partkey % 13) * 10.0 AS p_retailprice"),
     "supplier": ("supplier JOIN nation ON s_nationkey = n_nationkey", "s_suppkey, s_nationkey, CASE WHEN s_suppkey % 23 = 5 THEN 'NATION_X' WHEN s_suppkey % 17 = 3 THEN NULL ELSE n_name END AS n_name"),
     "nations": ("supplier JOIN nation ON s_nationkey = n_nationkey", "s_suppkey, CAST(s_nationkey AS STRING) AS s_nationkey, CASE WHEN s_suppkey % 17 = 3 THEN NULL ELSE n_name END AS n_name"),
+    "steps": ("events", "event_id, CASE WHEN event_id % 997 = 1 THEN value * 100 ELSE floor(value / 20) * 20 END AS value"),
+    "misnamed": ("customer", "c_custkey, CASE WHEN c_custkey % 23 = 5 THEN concat('Customer#', lpad(CAST(c_custkey - 1 AS STRING), 9, '0'), 'x') ELSE c_name END AS c_name"),
     "events": ("events", "event_id, user_id, event_type, CASE WHEN event_id % 997 = 1 THEN value * 100 ELSE value END AS value"),
 }
 BRANDS = [f"Brand#{i}" for i in range(1, 21)]
@@ -115,9 +117,10 @@ def detect_outlier_events(spark, sf):
     return _detect(frame(spark, sf, "events"), "event_id", d.GaussianOutlierErrorDetector(), targets=["value"])
 
 
-@query("detect_outlier_approx_events")
+# Where values come in few steps, approximate quartiles are the exact ones.
+@query("detect_outlier_approx_events", OUTLIERS.replace(table("events"), table("steps")).replace("quantile_cont", "quantile_disc"))
 def detect_outlier_approx_events(spark, sf):
-    return _detect(frame(spark, sf, "events"), "event_id", d.GaussianOutlierErrorDetector(approx_enabled=True), targets=["value"])
+    return _detect(frame(spark, sf, "steps"), "event_id", d.GaussianOutlierErrorDetector(approx_enabled=True), targets=["value"])
 
 
 @query("detect_lof_events")
@@ -181,6 +184,11 @@ def detect_constraint_generic_part(spark, sf):
     return _detect(frame(spark, sf, "prices"), "p_partkey", d.ConstraintErrorDetector(constraints=text))
 
 
+@query("detect_constraint_keyless_part", _both("prices", "p_partkey", "p_size,p_retailprice", _exists("prices", "l.p_size < r.p_size AND l.p_retailprice > r.p_retailprice + 0")))
+def detect_constraint_keyless_part(spark, sf):
+    return _detect(frame(spark, sf, "prices"), "p_partkey", d.ConstraintErrorDetector(constraints="t1&t2&LT(t1.p_size,t2.p_size)&GT(t1.p_retailprice,t2.p_retailprice)"))
+
+
 @query("detect_default_part", f"{AUTOFILL.replace('> 12', '> 4')} UNION SELECT p_partkey, 'p_type' FROM {table('part')} WHERE p_type NOT IN (SELECT p_type FROM {table('part')} GROUP BY p_type HAVING count(*) > 4)")
 def detect_default_part(spark, sf):
     df = frame(spark, sf, "part")
@@ -304,7 +312,12 @@ def freq_stats_filtered_orders(spark, sf):
     return stats.freq_stats(frame(spark, sf, "texts"), _SETS, 0.05)
 
 
-@query("pair_cooccurrence_orders")
+_SHARE = """WITH o AS (SELECT o_orderstatus, o_orderpriority, CAST(trunc((o_totalprice - low) / (high - low) * 80) AS INTEGER) AS o_totalprice FROM {t}, (SELECT min(o_totalprice) AS low, max(o_totalprice) AS high FROM {t})),
+s AS (SELECT * FROM ({pairs})) SELECT y, x FROM (SELECT *, row_number() OVER (PARTITION BY y ORDER BY share, x) AS r FROM s WHERE share < 1) WHERE r = 1"""
+_SHARES = " UNION ALL ".join(f"SELECT '{y}' AS y, '{x}' AS x, (SELECT count(*) FROM (SELECT DISTINCT {y}, {x} FROM o)) / ((SELECT count(DISTINCT {y}) FROM o) * (SELECT count(DISTINCT {x}) FROM o)) AS share" for y in ("o_orderstatus", "o_totalprice", "o_orderpriority") for x in ("o_orderstatus", "o_totalprice", "o_orderpriority") if x != y)
+
+
+@query("pair_cooccurrence_orders", _SHARE.format(t=table("orders"), pairs=_SHARES))
 def pair_cooccurrence_orders(spark, sf):
     df = stats.discretize(frame(spark, sf, "orders"), "o_orderkey", 80)[0]
     sizes = stats.distinct_counts(df, [c for c in df.columns if c != "o_orderkey"])
@@ -417,6 +430,17 @@ def repair_nearest_part(spark, sf):
     return rules.by_nearest(base, wrong, "p_partkey", ["p_brand"], Levenshtein(targets=["p_brand"]), 2.0)[1]
 
 
+_MISNAMED = f"WITH t AS (SELECT * FROM {table('misnamed')}), c AS (SELECT DISTINCT w.c_name AS w, v.c_name AS v, levenshtein(w.c_name, v.c_name) AS cost FROM t w, t v WHERE w.c_name LIKE '%x' AND v.c_name NOT LIKE '%x'), b AS (SELECT w, min(cost) AS least FROM c GROUP BY w HAVING least <= 2), f AS (SELECT c.w, min(c.v) AS v FROM c JOIN b ON c.w = b.w AND c.cost = b.least GROUP BY c.w HAVING count(*) = 1) SELECT c_custkey, 'c_name' AS attribute, c_name AS current_value, v AS repaired FROM t JOIN f ON t.c_name = f.w"
+
+
+@query("repair_nearest_customer", _MISNAMED)
+def repair_nearest_customer(spark, sf):
+    df = frame(spark, sf, "misnamed")
+    wrong = df.where("c_name like '%x'").select("c_custkey", F.lit("c_name").alias("attribute"), F.col("c_name").alias("current_value"))
+    base = domains.repair_base(df, wrong, "c_custkey", ["c_name"])
+    return rules.by_nearest(base, wrong, "c_custkey", ["c_name"], Levenshtein(), 2.0)[1]
+
+
 # Models and repair
 
 _COUNTED = """WITH t AS (SELECT * FROM {t}), k AS (SELECT * FROM t WHERE o_orderpriority IS NOT NULL),
@@ -507,9 +531,11 @@ def class_deviation_orders(spark, sf):
     return spark.createDataFrame([(models.class_deviation(frame(spark, sf, "texts"), "o_orderpriority"),)], "deviation double").withColumn("deviation", F.round("deviation", 6))
 
 
-@query("rebalance_orders")
+@query("rebalance_orders", f"WITH c AS (SELECT 'o_orderstatus' AS y, o_orderstatus AS class, count(*) AS n FROM {table('texts')} WHERE o_orderstatus IS NOT NULL GROUP BY 2 UNION ALL SELECT 'o_orderpriority', o_orderpriority, count(*) FROM {table('texts')} WHERE o_orderpriority IS NOT NULL GROUP BY 2) SELECT y, class, CAST(median(n) OVER (PARTITION BY y) AS DOUBLE) AS n FROM c")
 def rebalance_orders(spark, sf):
-    return models.rebalanced(frame(spark, sf, "texts"), "o_orderstatus")
+    ys = ["o_orderstatus", "o_orderpriority"]
+    table = frame(spark, sf, "texts").drop("o_orderkey")
+    return models.fit_counting(table, ys, {y: ["custgroup"] for y in ys}, rebalance=True).classes.select("y", "class", "n")
 
 
 @query("update_costs_part", f"SELECT p_partkey, CAST(levenshtein(p_brand, p_type) AS DOUBLE) AS cost FROM {table('part')}")

@@ -107,8 +107,6 @@ def test_regression_quality(spark):
 def test_forest_and_rebalancing(spark, people):
     found = nulls(people).option("model.engine", "boosting").option("model.lgb.n_estimators", "5").setParallelStatTrainingEnabled(True).setTrainingDataRebalancingEnabled(True).run(compute_repair_prob=True)
     assert found.count() == 6 and found.where("repaired is null").count() == 0
-    sizes = dict(cells(models.rebalanced(spark.range(1000).selectExpr("id", "if(id < 100, 'a', if(id < 400, 'b', 'c')) x"), "x").groupBy("x").count()))
-    assert all(250 < n < 350 for n in sizes.values())
     assert models.class_deviation(spark.range(6).selectExpr("if(id < 2, 'a', 'b') x"), "x") == 1.0
 
 
