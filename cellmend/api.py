@@ -31,14 +31,14 @@ class RepairMisc:
     def _need(self, *keys: str) -> list:
         missing = [k for k in keys if k not in self.opts]
         if missing:
-            raise ValueError(f"Required options not found: {', '.join(missing)}")
+            raise ValueError(f"These options are needed: {', '.join(missing)}")
         return [self.opts[k] for k in keys]
 
     def _number(self, key: str, default, kind: Callable = int):
         try:
             return kind(self.opts[key]) if key in self.opts else default
         except ValueError:
-            raise ValueError(f"Option '{key}' must be a number, but '{self.opts[key]}' found") from None
+            raise ValueError(f"Option '{key}' is a number, not '{self.opts[key]}'") from None
 
     def _flag(self, key: str) -> bool:
         return str(self.opts.get(key, "")).lower() in ("true", "1", "yes")
@@ -70,7 +70,7 @@ class RepairMisc:
         """M4: clusters of similar rows."""
         _, row_id, k = self._need("table_name", "row_id", "k")
         if not str(k).isdigit():
-            raise ValueError(f"Option 'k' must be an integer, but '{k}' found")
+            raise ValueError(f"Option 'k' is an integer, not '{k}'")
         df = self._table()
         return misc.split_input(df, row_id, int(k), self._targets(df, row_id), self._number("q", 2), self.opts.get("clustering_alg", "bisect-kmeans"))
 

@@ -22,7 +22,8 @@ def main(args: list[str] | None = None) -> str:
     parser.add_argument("--row-id", required=True, help="column of unique values")
     parser.add_argument("--output", required=True, help="table to write")
     given = parser.parse_args(args)
-    spark = SparkSession.builder.appName("cellmend").config("spark.sql.cbo.enabled", "true").config("spark.sql.statistics.histogram.enabled", "true").config("spark.sql.adaptive.enabled", "true").getOrCreate()
+    spark = SparkSession.builder.appName("cellmend").config("spark.sql.cbo.enabled", "true").config("spark.sql.statistics.histogram.enabled", "true").config("spark.sql.statistics.histogram.numBins", "254").config("spark.sql.adaptive.enabled", "true").getOrCreate()
+    spark.conf.set("spark.sql.shuffle.partitions", str(spark.sparkContext.defaultParallelism))
     model = Mender.getOrCreate().repair.setTableName(given.input).setRowId(given.row_id)
     if given.db:
         model.setDbName(given.db)

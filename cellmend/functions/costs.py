@@ -66,7 +66,7 @@ class UserDefinedUpdateCostFunction(UpdateCostFunction):
         except Exception:  # whatever a user's function raises
             sound = False
         if not sound:
-            raise ValueError("`f` should take two values and return a float cost value")
+            raise ValueError("`f` must make a float of two values")
 
     def __str__(self) -> str:
         return "UserDefinedUpdateCostFunction()"

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 def qgrams(text: Column, q: int) -> Column:
     """The substrings of q characters; a text of at most q is its only one, null has none."""
     if q <= 0:
-        raise ValueError(f"`q` must be positive, but {q} got")
+        raise ValueError(f"`q` must be positive, not {q}")
     parts = F.transform(F.sequence(F.lit(1), F.length(text) - q + 1), lambda i: F.substring(text, i, F.lit(q)))
     return F.when(text.isNull(), F.expr("cast(array() as array<string>)")).when(F.length(text) > q, parts).otherwise(F.array(text))
 

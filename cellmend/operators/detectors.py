@@ -141,7 +141,7 @@ class DomainValues(ErrorDetector):
 class RegExErrorDetector(ErrorDetector):
     """D3: cells in which the regular expression is found nowhere, and null cells."""
 
-    def __init__(self, attr: str, regex: str, error_cells_as_string: bool = False):
+    def __init__(self, attr: str, regex: str):
         super().__init__([attr])
         self.attr, self.regex = attr, regex
 
@@ -160,7 +160,7 @@ class ConstraintErrorDetector(ErrorDetector):
     def __init__(self, constraint_path: str = "", constraints: str = "", targets: Iterable[str] = ()):
         super().__init__(targets)
         if not constraint_path and not constraints:
-            raise ValueError("At least one of `constraint_path` or `constraints` should be specified")
+            raise ValueError("Either `constraint_path` or `constraints` is needed")
         self.constraint_path, self.constraints = constraint_path, constraints
 
     def _shown(self) -> str:
@@ -229,7 +229,7 @@ class FittedOutlierErrorDetector(ErrorDetector):
     def __init__(self, parallel_mode_threshold: int = 10000, num_parallelism: int | None = None):
         super().__init__()
         if num_parallelism is not None and num_parallelism <= 0:
-            raise ValueError(f"`num_parallelism` must be positive, got {num_parallelism}")
+            raise ValueError(f"`num_parallelism` must be positive, not {num_parallelism}")
         self.parallel_mode_threshold, self.num_parallelism = parallel_mode_threshold, num_parallelism
 
     @abstractmethod
@@ -265,9 +265,9 @@ class ScikitLearnBackedErrorDetector(FittedOutlierErrorDetector):
     def __init__(self, error_detector_cls: Callable[[], Any], parallel_mode_threshold: int = 10000, num_parallelism: int | None = None):
         super().__init__(parallel_mode_threshold, num_parallelism)
         if not callable(error_detector_cls):
-            raise ValueError("`error_detector_cls` should be callable")
+            raise ValueError("`error_detector_cls` must be callable")
         if not hasattr(error_detector_cls(), "fit_predict"):
-            raise ValueError("An instance that `error_detector_cls` returns should have a `fit_predict` method")
+            raise ValueError("What `error_detector_cls` makes must have `fit_predict`")
         self.error_detector_cls = error_detector_cls
 
     def _estimator(self) -> Any:
@@ -360,9 +360,10 @@ def given_cells(cells: DataFrame, row_id: str, columns: Iterable[str]) -> DataFr
     return cells.select(col(row_id), "attribute").where(F.col("attribute").isin(list(columns))).distinct()
 
 
-def cell_counts(cells: DataFrame) -> DataFrame:
-    """The number of error cells of each attribute."""
-    return cells.groupBy("attribute").agg(F.count("*").alias("n"))
+def cell_counts(cells: DataFrame, rows: int | None = None) -> DataFrame:
+    """The number of error cells of each attribute, and of `rows` rows their ratio."""
+    counted = cells.groupBy("attribute").agg(F.count("*").alias("n"))
+    return counted if rows is None else counted.withColumn("ratio", F.col("n") / F.lit(rows))
 
 
 def with_current_values(df: DataFrame, cells: DataFrame, row_id: str) -> DataFrame:

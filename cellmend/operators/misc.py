@@ -81,7 +81,7 @@ def split_input(df: DataFrame, row_id: str, k: int, targets: Iterable[str] = (),
     `bisect-kmeans` is bisecting k-means, `kmeans++` is k-means.
     """
     if algorithm not in ("bisect-kmeans", "kmeans++"):
-        raise ValueError(f"Unknown clustering algorithm found: {algorithm}")
+        raise ValueError(f"No clustering of the name {algorithm}")
     names = list(targets) or [c for c in df.columns if c != row_id]
     grams = df.select(col(row_id), F.concat(*(qgrams(col(c).cast("string"), q) for c in names)).alias("__grams"))
     features = CountVectorizer(inputCol="__grams", outputCol="__features").fit(grams).transform(grams).drop("__grams")
@@ -92,7 +92,7 @@ def split_input(df: DataFrame, row_id: str, k: int, targets: Iterable[str] = (),
 def inject_null(df: DataFrame, targets: Iterable[str], ratio: float = 0.01, seed: int | None = None) -> DataFrame:
     """M6: df with about a `ratio` of the targets' cells null."""
     if not 0 < ratio <= 1:
-        raise ValueError(f"`null_ratio` should be in (0.0, 1.0], got {ratio}")
+        raise ValueError(f"`null_ratio` must be over 0 and at most 1, not {ratio}")
     names = list(targets)
     need_columns(df, *names)
     rand = lambda i: F.rand() if seed is None else F.rand(seed + i)

@@ -135,7 +135,7 @@ def discretize(df: DataFrame, row_id: str, threshold: int, approx: bool = False)
         elif 1 < sizes[c] <= threshold:
             kept.append(col(c))
         else:
-            logger.warning("'%s' dropped because of its unsuitable domain (size=%d)", c, sizes[c])
+            logger.warning("'%s' is left out: it has %d values", c, sizes[c])
     return df.select(*kept), sizes
 
 
@@ -148,9 +148,9 @@ def freq_stats(df: DataFrame, attr_sets: Iterable[Iterable[str]], ratio: float =
     sets = [list(dict.fromkeys(s)) for s in attr_sets]
     attrs = list(dict.fromkeys(a for s in sets for a in s))
     if len(attrs) > MOST_ATTRS:
-        raise ValueError(f"Cannot handle the number of attributes over {MOST_ATTRS}, got {len(attrs)}")
+        raise ValueError(f"At most {MOST_ATTRS} columns are counted at once, not {len(attrs)}")
     if any(len(s) > 2 for s in sets):
-        raise ValueError("Cannot handle more than two entries: " + "; ".join(",".join(s) for s in sets if len(s) > 2))
+        raise ValueError("Sets have one or two columns, not " + "; ".join(",".join(s) for s in sets if len(s) > 2))
     flags = [F.grouping(col(a)).cast("int").alias(f"{FREQ_FLAG}{a}") for a in attrs]
     counted = df.groupingSets([[col(a) for a in s] for s in sets], *(col(a) for a in attrs)).agg(*flags, F.count("*").alias("cnt"))
     ordered = [x for a in attrs for x in (col(a), col(f"{FREQ_FLAG}{a}"))]

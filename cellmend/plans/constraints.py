@@ -85,9 +85,9 @@ def parse(text: str) -> Constraint:
     names = [m[1] for p in parts if (m := _TUPLE.fullmatch(p))]
     predicates = parts[len(names) :]
     if not 1 <= len(names) <= 2 or len(set(names)) < len(names) or any(_TUPLE.fullmatch(p) for p in predicates):
-        raise ConstraintError(f"Illegal constraint format found: {text}")
+        raise ConstraintError(f"Not a constraint: {text}")
     if len(predicates) < 2:
-        raise ConstraintError(f"At least two predicate candidates should be given, but {len(predicates)} candidates found: {text}")
+        raise ConstraintError(f"A constraint has two predicates or more, this one {len(predicates)}: {text}")
     return Constraint(tuple(_predicate(p, names, text) for p in predicates))
 
 
@@ -96,11 +96,11 @@ def _predicate(part: str, names: list[str], text: str) -> Predicate:
     sides = m[2].split(",", 1) if m else []
     left = _REFERENCE.fullmatch(sides[0]) if sides else None
     if m is None or len(sides) != 2 or left is None or left[1] != names[0]:
-        raise ConstraintError(f"Illegal predicates found: {text}")
+        raise ConstraintError(f"Not a predicate: {text}")
     right = _REFERENCE.fullmatch(sides[1])
     if len(names) == 2:
         if right is None or right[1] != names[1]:
-            raise ConstraintError(f"Illegal predicates found: {text}")
+            raise ConstraintError(f"Not a predicate: {text}")
         return Predicate(m[1], left[2], right[2])
     if right is not None and right[1] == names[0]:
         raise ConstraintError(f"A one-tuple constraint compares with constants only: {text}")
@@ -133,11 +133,11 @@ def load(texts: Iterable[str], columns: Iterable[str], table: str = "input") ->
         try:
             constraint = parse(text)
         except ConstraintError as e:
-            logger.warning("%s", e if "Illegal constraint format" in str(e) else f"Illegal constraint format found: {text} ({e})")
+            logger.warning("%s", e if "Not a constraint" in str(e) else f"Not a constraint: {text} ({e})")
             continue
         unknown = [r for r in constraint.references if r not in known]
         if unknown:
-            logger.warning("Non-existent constraint attributes found in '%s': %s", table, ", ".join(unknown))
+            logger.warning("'%s' has no such columns for a constraint: %s", table, ", ".join(unknown))
             continue
         out.append(constraint)
     return out

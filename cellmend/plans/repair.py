@@ -31,14 +31,14 @@ logger = logging.getLogger("cellmend")
 
 def _is_list_of(values, kind: type, name: str) -> list:
     if not isinstance(values, list) or not all(isinstance(v, kind) for v in values):
-        raise TypeError(f"`{name}` should be provided as list[{kind.__name__}]")
+        raise TypeError(f"`{name}` must be a list of {kind.__name__}")
     return list(values)
 
 
 def _is(value, kind, name: str):
     kinds = kind if isinstance(kind, tuple) else (kind,)
     if not isinstance(value, kinds) or (isinstance(value, bool) and bool not in kinds):
-        raise TypeError(f"`{name}` should be provided as {'/'.join(k.__name__ for k in kinds)}, got {type(value).__name__}")
+        raise TypeError(f"`{name}` must be of {' or '.join(k.__name__ for k in kinds)}, not {type(value).__name__}")
     return value
 
 
@@ -144,7 +144,7 @@ class RepairModel:
 
     def setDbName(self, db_name: str) -> RepairModel:  # noqa: N802
         if isinstance(self.input, DataFrame):
-            raise ValueError("Can not specify a database name when input is `DataFrame`")
+            raise ValueError("A DataFrame as input has no database")
         self.db_name = _is(db_name, str, "db_name")
         return self
 
@@ -165,16 +165,16 @@ class RepairModel:
     def setTargets(self, targets: list[str]) -> RepairModel:  # noqa: N802
         self.targets = _is_list_of(targets, str, "targets")
         if not targets:
-            raise ValueError("`targets` should have at least one attribute")
+            raise ValueError("`targets` must name a column")
         return self
 
     def setErrorCells(self, error_cells: str | DataFrame) -> RepairModel:  # noqa: N802
         if self.row_id is None:
-            raise ValueError("`setRowId` should be called before specifying error cells")
+            raise ValueError("Error cells need `setRowId` first")
         _is(error_cells, (str, DataFrame), "error_cells")
         cells = resolve(SparkSession.active(), error_cells)
         if not {self.row_id, "attribute"} <= set(cells.columns):
-            raise ValueError(f"Error cells should have `{self.row_id}` and `attribute` in columns")
+            raise ValueError(f"Error cells need the columns `{self.row_id}` and `attribute`")
         self.error_cells = error_cells
         return self
 
@@ -184,7 +184,7 @@ class RepairModel:
 
     def setDiscreteThreshold(self, thres: int) -> RepairModel:  # noqa: N802
         if _is(thres, int, "thres") < 2:
-            raise ValueError(f"`thres` should be bigger than 1, got {thres}")
+            raise ValueError(f"`thres` must be 2 or more, not {thres}")
         self.discrete_threshold = thres
         return self
 
@@ -202,7 +202,7 @@ class RepairModel:
 
     def setRepairDelta(self, delta: int) -> RepairModel:  # noqa: N802
         if _is(delta, int, "delta") <= 0:
-            raise ValueError(f"Repair delta should be positive, got {delta}")
+            raise ValueError(f"The repair delta must be 1 or more, not {delta}")
         self.repair_delta = delta
         return self
 
@@ -214,7 +214,7 @@ class RepairModel:
         _is(key, str, "key")
         _is(value, str, "value")
         if key not in o.KEYS:
-            raise ValueError(f"Non-existent key specified: key={key}")
+            raise ValueError(f"There is no option '{key}'")
         self.opts[key] = value
         return self
 
@@ -228,30 +228,30 @@ class RepairModel:
     def run(self, detect_errors_only: bool = False, compute_repair_candidate_prob: bool = False, compute_repair_prob: bool = False, compute_repair_score: bool = False, repair_data: bool = False, maximal_likelihood_repair: bool = False) -> DataFrame:
         """Error cells, updates, probabilities, scores or the repaired table (P10)."""
         if self.input is None or self.row_id is None:
-            raise ValueError("`setInput` and `setRowId` should be called before repairing")
+            raise ValueError("A run needs `setInput` and `setRowId` first")
         if maximal_likelihood_repair:
             if self.repair_delta is None:
-                raise ValueError("`setRepairDelta` should be called when enabling maximal likelihood repairing")
+                raise ValueError("Maximal likelihood needs `setRepairDelta`")
             if self.cf is None:
-                raise ValueError("`setUpdateCostFunction` should be called when enabling maximal likelihood repairing")
+                raise ValueError("Maximal likelihood needs `setUpdateCostFunction`")
             if self.cf.targets:
-                raise ValueError("`UpdateCostFunction.targets` cannot be used when enabling maximal likelihood repairing")
+                raise ValueError("Maximal likelihood needs costs of all columns, not of `targets` only")
         modes = {"detect_errors_only": detect_errors_only, "compute_repair_candidate_prob": compute_repair_candidate_prob, "compute_repair_prob": compute_repair_prob, "compute_repair_score": compute_repair_score, "repair_data": repair_data}
         chosen = [k for k, on in modes.items() if on]
         if len(chosen) > 1:
-            raise ValueError("/".join(f"'{k}'" for k in chosen) + " cannot be set to true simultaneously")
+            raise ValueError("A run has one mode, not " + " and ".join(chosen))
         if self._nearest and (maximal_likelihood_repair or compute_repair_candidate_prob or compute_repair_prob or compute_repair_score):
-            raise ValueError("Cannot repair data by nearest values when enabling `maximal_likelihood_repair`, `compute_repair_candidate_prob`, `compute_repair_prob`, or `compute_repair_score`")
+            raise ValueError("Nearest values have neither probabilities nor scores")
         if compute_repair_score and self.cf is None:
-            raise ValueError("`setUpdateCostFunction` should be called when computing repair scores")
+            raise ValueError("Scores need `setUpdateCostFunction`")
         likely = maximal_likelihood_repair or compute_repair_score
         df = resolve(SparkSession.active(), self.input, self.db_name)
         name = self.input if isinstance(self.input, str) else "input"
         continuous = check_input(df, self.row_id, name)
         if likely and continuous:
-            raise ValueError("Cannot enable the maximal likelihood repair mode when continous attributes found")
+            raise ValueError("Maximal likelihood is for discrete columns only")
         if self.targets and not set(self.targets) & set(df.columns):
-            raise ValueError(f"Target attributes not found in {name}: {','.join(self.targets)}")
+            raise ValueError(f"{name} has none of the targets {', '.join(self.targets)}")
         return self._run(df, continuous, detect_errors_only, compute_repair_candidate_prob or compute_repair_prob, compute_repair_prob, compute_repair_score, repair_data, likely)
 
     def _run(self, df: DataFrame, continuous: list[str], detect_only: bool, with_pmf: bool, best_only: bool, scores_only: bool, whole: bool, likely: bool) -> DataFrame:
@@ -265,7 +265,7 @@ class RepairModel:
         if n_cells == 0:
             return df if whole else cells.withColumn("repaired", F.lit(None).cast("string")).limit(0)
         if not targets:
-            raise ValueError("At least one valid discretizable feature is needed to repair error cells, but no such feature found")
+            raise ValueError("None of the columns with errors can be repaired: they need 2 to `setDiscreteThreshold` values, or numbers")
         cells = cut(domains.of_columns(cells, targets))
         n_cells = cells.count()
         base = domains.repair_base(df, cells, row_id, targets, "__dirty")

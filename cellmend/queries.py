@@ -222,6 +222,11 @@ def error_counts(spark, sf):
     return d.cell_counts(detect_multi_union(spark, sf))
 
 
+@query("error_ratios", f"SELECT attribute, count(*) AS n, round(count(*) / (SELECT count(*) FROM {table('orders')}), 6) AS ratio FROM ({UNION}) GROUP BY attribute")
+def error_ratios(spark, sf):
+    return d.cell_counts(detect_multi_union(spark, sf), frame(spark, sf, "orders").count()).withColumn("ratio", F.round("ratio", 6))
+
+
 CURRENT = f"SELECT c.o_orderkey, c.attribute, CASE c.attribute WHEN 'o_orderpriority' THEN t.o_orderpriority ELSE t.o_orderstatus END AS current_value FROM ({UNION}) c JOIN {table('orders')} t ON c.o_orderkey = t.o_orderkey"
 
 
@@ -430,6 +435,24 @@ def repair_nearest_part(spark, sf):
     return rules.by_nearest(base, wrong, "p_partkey", ["p_brand"], Levenshtein(targets=["p_brand"]), 2.0)[1]
 
 
+@query("repair_by_regexes_customer", f"SELECT c_custkey, 'c_name' AS attribute, c_name AS current_value, concat('Customer-', right(c_name, 9)) AS repaired FROM {table('customer')} WHERE c_custkey % 23 <> 5")
+def repair_by_regexes_customer(spark, sf):
+    wrong = frame(spark, sf, "customer").where("c_custkey % 23 <> 5").select("c_custkey", F.lit("c_name").alias("attribute"), F.col("c_name").alias("current_value"))
+    return rules.by_regexes(wrong, "c_custkey", [("c_name", "^Customer-[0-9]{9}$"), ("c_mktsegment", "^[0-9]$")])[1]
+
+
+@query("prediction_order", "SELECT * FROM (VALUES (0, 'a'), (1, 'b'), (2, 'c'), (3, 'd')) t(place, y)")
+def prediction_order(spark, sf):
+    return spark.createDataFrame(list(enumerate(models.dependency_order(["a"], {"d": "c", "b": "a", "c": "b"}))), "place int, y string")
+
+
+@query("selected_features_orders", f"WITH h AS ({' UNION ALL '.join(_entropy_sql(y, x) for y, x in _PAIRS[:2])}) SELECT x FROM h ORDER BY h LIMIT 2")
+def selected_features_orders(spark, sf):
+    df = frame(spark, sf, "texts")
+    entropies = stats.conditional_entropies(df, _PAIRS[:2], stats.distinct_counts(df, ["o_orderstatus", "custgroup", "o_orderpriority"]))
+    return spark.createDataFrame([(x,) for x in models.select_features("o_orderpriority", df.columns, entropies["o_orderpriority"], 1)], "x string")
+
+
 _MISNAMED = f"WITH t AS (SELECT * FROM {table('misnamed')}), c AS (SELECT DISTINCT w.c_name AS w, v.c_name AS v, levenshtein(w.c_name, v.c_name) AS cost FROM t w, t v WHERE w.c_name LIKE '%x' AND v.c_name NOT LIKE '%x'), b AS (SELECT w, min(cost) AS least FROM c GROUP BY w HAVING least <= 2), f AS (SELECT c.w, min(c.v) AS v FROM c JOIN b ON c.w = b.w AND c.cost = b.least GROUP BY c.w HAVING count(*) = 1) SELECT c_custkey, 'c_name' AS attribute, c_name AS current_value, v AS repaired FROM t JOIN f ON t.c_name = f.w"
 
 

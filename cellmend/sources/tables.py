@@ -24,7 +24,7 @@ def resolve(spark: SparkSession, table: str | DataFrame, db: str = "") -> DataFr
 def need_columns(df: DataFrame, *names: str, table: str = "input") -> None:
     for name in names:
         if name not in df.columns:
-            raise ValueError(f"Column '{name}' does not exist in '{table}'.")
+            raise ValueError(f"'{table}' has no column '{name}'")
 
 
 def continuous_columns(df: DataFrame, *without: str) -> list[str]:
@@ -40,12 +40,12 @@ def check_input(df: DataFrame, row_id: str, table: str = "input") -> list[str]:
     need_columns(df, row_id, table=table)
     unsupported = [f"{c}:{kind}" for c, kind in df.dtypes if kind not in SUPPORTED]
     if unsupported:
-        raise ValueError(f"Supported types are {','.join(SUPPORTED)}, but unsupported ones found: {','.join(unsupported)}")
+        raise ValueError(f"Columns of these types can't be repaired: {', '.join(unsupported)} (only {', '.join(SUPPORTED)})")
     if len(df.columns) < 3:
-        raise ValueError(f"A least three columns (`{row_id}` columns + two more ones) in table '{table}'")
+        raise ValueError(f"'{table}' needs two columns besides `{row_id}`")
     repeated = df.groupBy(col(row_id)).agg(F.count("*").alias("n")).where("n > 1").agg(F.count("*"), F.sum("n")).first()
     if repeated[0]:
-        raise ValueError(f"Uniqueness does not hold in column '{row_id}' of table '{table}' ({repeated[0]} values are in {repeated[1]} rows)")
+        raise ValueError(f"Row ids must be unique, but {repeated[0]} values of '{row_id}' are in {repeated[1]} rows of '{table}'")
     return continuous_columns(df, row_id)
 
 

@@ -39,7 +39,7 @@ def test_dependency_violations(spark):
     detector = d.ConstraintErrorDetector(constraints="t1&t2&EQ(t1.v1,t2.v1)&IQ(t1.v2,t2.v2)")
     assert found(df, detector) == sorted([(str(i), c) for i in range(1, 6) for c in ("v1", "v2")], key=repr)
     assert found(df, detector, targets=["v2", "v3"]) == [(str(i), "v2") for i in range(1, 6)]
-    with pytest.raises(ValueError, match="At least one of"):
+    with pytest.raises(ValueError, match="is needed"):
         d.ConstraintErrorDetector()
 
 
@@ -107,12 +107,12 @@ def test_odd_names(spark):
 
 def test_input_checks(spark):
     df = spark.createDataFrame([(1, 2, "a"), (1, 3, "b")], "tid int, x int, y string")
-    with pytest.raises(ValueError, match="Uniqueness does not hold"):
+    with pytest.raises(ValueError, match="Row ids must be unique"):
         check_input(df, "tid")
     assert check_input(df, "x") == ["tid"]
-    with pytest.raises(ValueError, match="A least three columns"):
+    with pytest.raises(ValueError, match="needs two columns besides"):
         check_input(df.select("x", "y"), "x")
-    with pytest.raises(ValueError, match="unsupported ones found: d:date"):
+    with pytest.raises(ValueError, match="can't be repaired: d:date"):
         check_input(df.selectExpr("x", "y", "current_date() as d"), "x")
-    with pytest.raises(ValueError, match="Column 'z' does not exist"):
+    with pytest.raises(ValueError, match="has no column 'z'"):
         check_input(df, "z")
