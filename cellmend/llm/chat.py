@@ -1,7 +1,8 @@
 """Operator 10: chat formatting by a template compiler.
 
 Templates are text with `{{ expression }}` and `{% statement %}`: for/else, if/elif/else,
-set, and generation, which marks what a model is trained on. Expressions have literals,
+set, and generation, which marks what a model is trained on. A minus sign inside a delimiter
+trims the white space next to it; strings may hold delimiters. Expressions have literals,
 names, members, indexes, comparisons, and/or/not/in, `+`, `~` (joining as text) and filters.
 The parser makes a syntax tree, constants are folded, and each node becomes a Python closure.
 The language is sandboxed: members are looked up in mappings and lists only, never as Python
@@ -89,7 +90,9 @@ class Node:
 
 _TOKEN = re.compile(r"\s*(?:(?P<string>'(?:[^'\\]|\\.)*'|\"(?:[^\"\\]|\\.)*\")|(?P<number>\d+)|(?P<name>[A-Za-z_]\w*)|(?P<op>==|!=|<=|>=|[-+~<>().,|\[\]=]))")
 _ESCAPES = {"n": "\n", "t": "\t", "r": "\r"}
-_PARTS = re.compile(r"\{\{(.*?)\}\}|\{%-?\s*(.*?)\s*-?%\}|\{#.*?#\}", re.S)
+#: What tags hold: strings are whole, whatever they hold.
+_INSIDE = r"((?:'(?:[^'\\]|\\.)*'|\"(?:[^\"\\]|\\.)*\"|[^'\"])*?)"
+_PARTS = re.compile(rf"\{{\{{(-?){_INSIDE}(-?)\}}\}}|\{{%(-?){_INSIDE}(-?)%\}}|\{{#(-?).*?(-?)#\}}", re.S)
 
 
 class Expressions:
@@ -210,15 +213,17 @@ class Expressions:
 
 def parse(template: str) -> Node:
     """The template's syntax tree."""
-    parts, at = [], 0
+    parts, at, trimmed = [], 0, False
     for m in _PARTS.finditer(template):
-        parts.append(("text", template[at : m.start()]))
-        at = m.end()
-        if m[1] is not None:
-            parts.append(("show", m[1]))
-        elif m[2] is not None:
-            parts.append(("do", m[2]))
-    parts.append(("text", template[at:]))
+        text = template[at : m.start()]
+        text = text.lstrip() if trimmed else text
+        parts.append(("text", text.rstrip() if m[1] or m[4] or m[7] else text))
+        at, trimmed = m.end(), bool(m[3] or m[6] or m[8])
+        if m[2] is not None:
+            parts.append(("show", m[2]))
+        elif m[5] is not None:
+            parts.append(("do", m[5].strip()))
+    parts.append(("text", template[at:].lstrip() if trimmed else template[at:]))
     place = 0
 
     def block(*ends: str) -> tuple[Node, str]:
@@ -427,7 +432,10 @@ def read_back(formatted: str) -> list[tuple[str, str]]:
     """The (role, text) of each turn, of a text that marks them as TEMPLATE does."""
     turns = []
     for part in formatted.split(BEGIN)[1:]:
-        role, _, text = part[: part.index(END)].partition("\n")
+        turn, end, _ = part.partition(END)
+        if not end:
+            raise TemplateError(f"a turn has no end marker: {part[:40]!r}")
+        role, _, text = turn.partition("\n")
         turns.append((unescape(role), unescape(text)))
     return turns
 

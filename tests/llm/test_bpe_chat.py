@@ -168,6 +168,15 @@ def test_the_language():
     assert rendered("x{% generation %}{{ a }}{% endgeneration %}y{# said #}", a="🙂b") == ("x🙂by", [(1, 3)])
 
 
+def test_trimming_and_strings_with_delimiters():
+    assert rendered("a \n{{- x -}}\n b", x=5)[0] == "a5b" and rendered("a {{ -x }} b", x=5)[0] == "a -5 b"
+    assert rendered("{% for x in xs -%}\n  {{ x }}\n{%- endfor %}.", xs=[1, 2])[0] == "12." and rendered("a {#- said -#} b")[0] == "ab"
+    assert rendered("{{ '}}' ~ \"%}{{\" }}{% if x == '%}' %}yes{% endif %}", x="%}")[0] == "}}%}{{yes"
+    assert chat.read_back("") == []
+    with pytest.raises(chat.TemplateError, match="no end marker"):
+        chat.read_back(chat.BEGIN + "user\nx")
+
+
 def test_constants_are_folded():
     tree = chat.fold(chat.parse("a{{ 'b' ~ (1 + 1) }}{% if 1 == 2 %}{{ 'x' + 1 }}{% endif %}{% if 1 == 2 %}no{% else %}c{% endif %}{{ x }}{{ '' }}"))
     assert [n.below[0].kind for n in tree.below] == ["constant", "name"]
