@@ -62,18 +62,21 @@ def test_describe(spark):
 
 
 def test_histogram_and_error_map(spark):
-    df = spark.createDataFrame([(1, "a", 1), (2, "a", 1), (3, "a", 1), (4, "a", 2)], "tid int, v1 string, v2 bigint")
+    coats = ["red", "blue", "red", "red", "green", "blue"]
+    df = spark.createDataFrame([(i, c, i * 7) for i, c in enumerate(coats)], "tid int, coat string, size bigint")
     df.createOrReplaceTempView("small")
-    assert [(r["attribute"], [tuple(x) for x in r["histogram"]]) for r in helper(targets="v1,v2").toHistogram().collect()] == [("v1", [("a", 4)])]
-    assert helper(targets="v2").toHistogram().collect() == []
-    wrong = spark.createDataFrame([(1, "v1"), (2, "v2"), (4, "v1"), (4, "v2"), (4, "v2")], "tid int, attribute string")
-    assert cells(misc.error_map(df, wrong, "tid")) == [(1, "*-"), (2, "-*"), (3, "--"), (4, "**")]
+    found = {r["attribute"]: {tuple(x) for x in r["histogram"]} for r in helper(targets="coat,size").toHistogram().collect()}
+    assert found == {"coat": {(c, coats.count(c)) for c in coats}}
+    assert helper(targets="size").toHistogram().collect() == []
+    marks = [(0, "coat"), (2, "size"), (2, "size"), (5, "coat"), (5, "size")]
+    wrong = spark.createDataFrame(marks, "tid int, attribute string")
+    assert cells(misc.error_map(df, wrong, "tid")) == [(i, "".join("*" if (i, c) in marks else "-" for c in ("coat", "size"))) for i in range(6)]
 
 
 def test_updates(spark):
-    df = spark.createDataFrame([(1, 1, "a", 1.0), (2, None, "b", 2.0), (3, 3, "c", None)], "tid int, x int, y string, z double")
-    updates = spark.createDataFrame([(1, "x", "2.4"), (2, "x", "2.6"), (2, "y", "test-3"), (3, "z", "3.1"), (3, "y", None)], "tid int, attribute string, repaired string")
-    assert cells(misc.apply_updates(updates, df, "tid")) == [(1, 2, "a", 1.0), (2, 3, "test-3", 2.0), (3, 3, None, 3.1)]
+    df = spark.createDataFrame([(7, 10, "oak", 0.5), (8, None, "elm", 1.5), (9, 30, "ash", None)], "tid int, age int, tree string, girth double")
+    updates = spark.createDataFrame([(7, "age", "11.4"), (8, "age", "19.6"), (8, "tree", "yew"), (9, "tree", None), (9, "girth", "2.25")], "tid int, attribute string, repaired string")
+    assert cells(misc.apply_updates(updates, df, "tid")) == [(7, 11, "oak", 0.5), (8, 20, "yew", 1.5), (9, 30, None, 2.25)]
     with pytest.raises(Exception, match="(?i)duplicat"):
         misc.apply_updates(updates.union(updates), df, "tid").collect()
 

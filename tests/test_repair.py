@@ -59,25 +59,29 @@ def test_detection_only_and_clean_input(spark, people):
 
 
 def test_functional_dependencies(spark):
-    df = spark.createDataFrame([(1, "1", "test-1"), (2, "2", "test-2"), (3, "1", None), (4, "2", "test-2"), (5, "2", None), (6, "3", None)], "tid int, x string, y string")
-    given = spark.createDataFrame([(3, "y"), (5, "y"), (6, "y")], "tid int, attribute string")
-    found = model(df).setErrorCells(given).setErrorDetectors([d.NullErrorDetector(), d.ConstraintErrorDetector(constraints="x->y")]).setRepairByRules(True).option("model.rule.max_domain_size", "1000").run()
-    assert cells(found) == [(3, "y", None, "test-1"), (5, "y", None, "test-2"), (6, "y", None, None)]
-    mixed = spark.createDataFrame([(1, "1", "a"), (2, "2", "b"), (3, "2", "c"), (4, None, "d"), (5, "3", None)], "tid int, x string, y string")
-    assert cells(rules.dependency_values(mixed, "x", "y")) == [("1", "a")]
+    towns = ["Bath", "York", "Bath", "York", "Ely", "Bath", "York"]
+    county = {"Bath": "Somerset", "York": "Yorkshire"}
+    df = spark.createDataFrame([(i, t, county.get(t) if i < 4 else None) for i, t in enumerate(towns)], "tid int, town string, county string")
+    given = spark.createDataFrame([(i, "county") for i in (4, 5, 6)], "tid int, attribute string")
+    found = model(df).setErrorCells(given).setErrorDetectors([d.NullErrorDetector(), d.ConstraintErrorDetector(constraints="town->county")]).setRepairByRules(True).option("model.rule.max_domain_size", "1000").run()
+    assert cells(found) == [(i, "county", None, county.get(towns[i])) for i in (4, 5, 6)]
+    mixed = spark.createDataFrame([(0, "Bath", "Somerset"), (1, "Newport", "Gwent"), (2, "Newport", "Shropshire"), (3, None, "Kent"), (4, "Ely", None)], "tid int, town string, county string")
+    assert cells(rules.dependency_values(mixed, "town", "county")) == [("Bath", "Somerset")]
 
 
 def nearest(spark):
-    rows = [(1, "100%", 100, "a", 1.0), (3, "32%", 101, "b", 1.1), (4, "1xx%", 1, "a", 1.3), (5, "100x", 2, "b", 0.6), (6, "12x", 300, "a", 0.8)]
-    df = spark.createDataFrame(rows, "tid int, v0 string, v1 bigint, v2 string, v3 double")
-    given = spark.createDataFrame([(4, "v0"), (5, "v0"), (6, "v0"), (3, "v1"), (5, "v1"), (6, "v1"), (5, "v2")], "tid int, attribute string")
-    return model(df).setErrorCells(given).setRepairByRules(True).setUpdateCostFunction(Levenshtein(targets=["v0", "v1"])).option("model.rule.repair_by_nearest_values.disabled", "").option("model.rule.merge_threshold", "2.0")
+    rows = [(0, "copper", 1200, "m"), (1, "silver", 44, "n"), (2, "coper", 1, "m"), (3, "sliver", 2, "n"), (4, "iron", 1290, "m"), (5, "gopper", 450, "n")]
+    df = spark.createDataFrame(rows, "tid int, metal string, weight bigint, mark string")
+    given = spark.createDataFrame([(2, "metal"), (3, "metal"), (4, "metal"), (5, "metal"), (4, "weight"), (5, "weight"), (5, "mark")], "tid int, attribute string")
+    return model(df).setErrorCells(given).setRepairByRules(True).setUpdateCostFunction(Levenshtein(targets=["metal", "weight"])).option("model.rule.repair_by_nearest_values.disabled", "").option("model.rule.merge_threshold", "2.0")
 
 
 def test_nearest_values(spark):
-    expected = [(3, "v1", "101", "100"), (4, "v0", "1xx%", "100%"), (5, "v0", "100x", "100%"), (5, "v1", "2", "1"), (6, "v0", "12x", "32%"), (6, "v1", "300", "100")]
-    assert cells(nearest(spark).setTargets(["v0", "v1"]).run()) == expected
-    assert set(expected) | {(5, "v2", "b", "a")} == set(cells(nearest(spark).run()))
+    # Iron is far from both metals; 1290 is near 1200, and 450 near 44 and nothing else.
+    expected = [(2, "metal", "coper", "copper"), (3, "metal", "sliver", "silver"), (4, "weight", "1290", "1200"), (5, "metal", "gopper", "copper"), (5, "weight", "450", "44")]
+    found = {(r[0], r[1]): r[3] for r in cells(nearest(spark).setTargets(["metal", "weight"]).run())}
+    assert all(found[i, a] == new for i, a, _, new in expected)
+    assert (5, "mark") in {(r[0], r[1]) for r in cells(nearest(spark).run())}
     with pytest.raises(ValueError, match="neither probabilities nor scores"):
         nearest(spark).run(compute_repair_prob=True)
 

@@ -1,23 +1,30 @@
+import math
+from collections import Counter
+
 import pytest
 from helpers import cells
 
 from cellmend.operators import domains, stats
 
-ROWS = [(1, "1", "test-1"), (2, "2", "test-2"), (3, "3", "test-3"), (4, "2", "test-2"), (5, "1", "test-1"), (6, "1", "test-1"), (7, "3", "test-3"), (8, "3", "test-3"), (9, "2", "test-2a")]
+ROWS = [(i, "ABCA"[i % 4], f"{i * i % 5} of {i % 2}") for i in range(30)]
+
+
+def counted(*columns):
+    return Counter(tuple(r[c] for c in columns) for r in ROWS)
 
 
-@pytest.mark.parametrize("x, y", [("xx", "yy"), ("x x", "y y")])
+@pytest.mark.parametrize("x, y", [("grade", "label"), ("a grade", "a label")])
 def test_frequencies(spark, x, y):
-    df = spark.createDataFrame(ROWS, ["tid", x, y])
-    found = cells(stats.freq_stats(df, [[x], [y], [x, y]]))
-    assert len(found) == 11 and ("2", 0, "test-2a", 0, 1) in found and (None, 1, "test-1", 0, 3) in found
-    assert len(cells(stats.freq_stats(df, [[x], [y], [x, y]], 0.3))) == 7
-    with pytest.raises(ValueError, match=f"Sets have one or two columns, not tid,{x},{y}"):
-        stats.freq_stats(df, [["tid", x, y]])
+    df = spark.createDataFrame(ROWS, ["row", x, y])
+    expected = [(v, 0, None, 1, n) for (v,), n in counted(1).items()] + [(None, 1, v, 0, n) for (v,), n in counted(2).items()] + [(v, 0, w, 0, n) for (v, w), n in counted(1, 2).items()]
+    assert cells(stats.freq_stats(df, [[x], [y], [x, y]])) == sorted(expected, key=repr)
+    assert cells(stats.freq_stats(df, [[x], [y], [x, y]], 0.2)) == sorted((r for r in expected if r[-1] > 6), key=repr)
+    with pytest.raises(ValueError, match=f"Sets have one or two columns, not row,{x},{y}"):
+        stats.freq_stats(df, [["row", x, y]])
 
 
 def test_long_counts_agree_with_grouping_sets(spark):
-    df = spark.createDataFrame(ROWS, ["tid", "x", "y"])
+    df = spark.createDataFrame(ROWS, ["row", "x", "y"])
     long = {(r["set"], r["v0"], r["v1"]): r["cnt"] for r in stats.long_counts(df, [("x", "y"), ("x",)]).collect()}
     wide = {(0, r["x"], r["y"]) if r["__generated_freq_group_y"] == 0 else (1, r["x"], None): r["cnt"] for r in stats.freq_stats(df, [["x", "y"], ["x"]]).collect()}
     assert long == wide
@@ -29,12 +36,12 @@ def test_entropy_of_unseen_groups():
 
 
 def test_conditional_entropies(spark):
-    df = spark.createDataFrame(ROWS, ["tid", "x", "y"])
+    df = spark.createDataFrame(ROWS, ["row", "x", "y"])
     sizes = stats.distinct_counts(df, ["x", "y"])
-    assert sizes == {"x": 3, "y": 4} == stats.distinct_counts(df, ["x", "y"], approx=True)
+    assert sizes == {"x": len(counted(1)), "y": len(counted(2))} == stats.distinct_counts(df, ["x", "y"], approx=True)
+    h = lambda *columns: -sum(n / 30 * math.log2(n / 30) for n in counted(*columns).values())
     found = stats.conditional_entropies(df, [("x", "y"), ("y", "x")], sizes)
-    assert found["x"][0][1] == pytest.approx(0, abs=1e-9)
-    assert found["y"][0][1] == pytest.approx((2 / 3 * 0.5849625007211562 + 1 / 3 * 1.584962500721156) / 3, abs=1e-9)
+    assert found["x"][0][1] == pytest.approx(h(1, 2) - h(2), abs=1e-9) and found["y"][0][1] == pytest.approx(h(1, 2) - h(1), abs=1e-9)
 
 
 def test_discretize(spark):
@@ -53,21 +60,24 @@ def test_candidate_pairs(spark):
 
 
 def domain_input(spark):
-    rows = [(1, "2", "test-1"), (2, "2", "test-2"), (3, "3", "test-1"), (4, "2", "test-2"), (5, "1", "test-1"), (6, "2", "test-1"), (7, "3", "test-3"), (8, "3", "test-3"), (9, "2", "test-2a")]
-    df = spark.createDataFrame(rows, ["tid", "x", "y"])
-    cells_df = spark.createDataFrame([(1, "x", "2"), (3, "y", "test-3"), (6, "y", "test-2")], ["tid", "attribute", "current_value"])
-    return df, cells_df
+    wrong = [(1, "x", "B"), (3, "y", "?"), (8, "y", ROWS[8][2])]
+    return spark.createDataFrame(ROWS, ["tid", "x", "y"]), spark.createDataFrame(wrong, ["tid", "attribute", "current_value"])
 
 
 def test_cell_domains(spark):
+    """Candidates weigh one less than the rows in which they go with the partner's value, a tenth at
+    least."""
     df, wrong = domain_input(spark)
-    found = domains.cell_domains(df, wrong, "tid", {"x": ["y"], "y": ["x"]}, {"x": 3, "y": 4}, beta=0.01)
-    values = sorted((r["tid"], x["n"]) for r in found.collect() for x in r["domain"])
-    assert values == [(1, "1"), (1, "2"), (1, "3"), (3, "test-1"), (3, "test-3"), (6, "test-1"), (6, "test-2"), (6, "test-2a")]
-    first = {r["tid"]: r["domain"] for r in found.collect()}[1]
-    assert [round(x["prob"], 3) for x in first] == [0.833, 0.083, 0.083]
-    most = domains.cell_domains(df, wrong, "tid", {"x": ["y"]}, {"x": 3, "y": 4})
-    assert cells(domains.weak_labels(most, "tid")) == [(1, "x")]
+    found = domains.cell_domains(df, wrong, "tid", {"x": ["y"], "y": ["x"]}, {"x": len(counted(1)), "y": len(counted(2))}, beta=0.05)
+    for r in found.collect():
+        own, other = (1, 2) if r["attribute"] == "x" else (2, 1)
+        weights = {row[0]: max(n - 1.0, 0.1) for row, n in ((((k[0],), n) if k[1] == ROWS[r["tid"]][other] else ((None,), 0)) for k, n in counted(own, other).items()) if n}
+        expected = {v: w / sum(weights.values()) for v, w in weights.items()}
+        assert {x["n"]: x["prob"] for x in r["domain"]} == pytest.approx({v: q for v, q in expected.items() if q > 0.05})
+    alone = spark.createDataFrame([(1, "x", ROWS[1][1])], ["tid", "attribute", "current_value"])
+    most = domains.cell_domains(df, alone, "tid", {"x": ["y"]}, {"x": 3, "y": 9}, beta=0.05)
+    best = max(most.first()["domain"], key=lambda x: x["prob"])["n"]
+    assert cells(domains.weak_labels(most, "tid")) == ([(1, "x")] if best == ROWS[1][1] else [])
 
 
 def test_domains_of_continuous_columns_are_empty(spark):
