@@ -592,14 +592,20 @@ def qgram_part(spark, sf):
     return frame(spark, sf, "part").select("p_partkey", F.array_join(qgrams(col("p_type"), 2), ",").alias("grams"))
 
 
-@query("split_table_part")
+# Random choices are seeded, so what SQL can tell of them are their properties.
+@query("split_table_part", "SELECT count(*) AS n, count(DISTINCT p_partkey) AS ids, 3 AS parts FROM part")
 def split_table_part(spark, sf):
-    return misc.split_input(frame(spark, sf, "part"), "p_partkey", 3, ["p_brand", "p_type"])
+    found = misc.split_input(frame(spark, sf, "part"), "p_partkey", 3, ["p_brand", "p_type"])
+    return found.agg(F.count("*").alias("n"), F.count_distinct("p_partkey").alias("ids"), F.count_distinct("k").cast("int").alias("parts"))
 
 
-@query("inject_null_orders")
+@query("inject_null_orders", f"SELECT count(*) AS n, 0 AS changed, true AS near_ratio FROM {table('whole')}")
 def inject_null_orders(spark, sf):
-    return misc.inject_null(frame(spark, sf, "whole"), ["o_orderpriority"], 0.1, seed=7)
+    df = frame(spark, sf, "whole")
+    nulls = misc.inject_null(df, ["o_orderpriority"], 0.1, seed=7).select(F.col("o_orderkey").alias("key"), F.col("o_orderpriority").alias("new"), F.col("o_orderstatus").alias("status"))
+    joined = df.join(nulls, F.col("o_orderkey") == F.col("key"))
+    changed = F.count_if(((F.col("new") != F.col("o_orderpriority")) | (F.col("status") != F.col("o_orderstatus"))))
+    return joined.agg(F.count("*").alias("n"), changed.cast("int").alias("changed"), F.avg(F.col("new").isNull().cast("int")).between(0.05, 0.15).alias("near_ratio"))
 
 
 @query("dep_graph_edges_supplier", f"SELECT n_name AS from_value, CAST(s_nationkey AS VARCHAR) AS to_value, count(*) AS cnt FROM {table('supplier')} WHERE n_name IS NOT NULL GROUP BY ALL")
@@ -608,7 +614,8 @@ def dep_graph_edges_supplier(spark, sf):
     return spark.createDataFrame([(a, b, n) for edges, _ in found.values() for a, ys in edges for b, n in ys], "from_value string, to_value string, cnt bigint")
 
 
-@query("dep_graph_supplier")
+@query("dep_graph_supplier", f"SELECT count(*) AS lines, count(DISTINCT s_nationkey) + count(DISTINCT n_name) AS nodes FROM (SELECT DISTINCT s_nationkey, n_name FROM {table('nations')} WHERE n_name IS NOT NULL)")
 def dep_graph_supplier(spark, sf):
+    """The drawing's lines and nodes."""
     text = depgraph.dependency_graph(frame(spark, sf, "nations"), ["s_nationkey", "n_name"], threshold=10.0)
-    return spark.createDataFrame([(text,)], "graph string")
+    return spark.createDataFrame([(text.count("penwidth"), text.count("[label="))], "lines bigint, nodes bigint")
