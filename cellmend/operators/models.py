@@ -25,10 +25,12 @@ from cellmend.functions.names import col
 from cellmend.operators import booster
 from cellmend.operators.rules import by_dependency
 from cellmend.operators.stats import long_counts
-from cellmend.session import ship_package
+from cellmend.session import cut, ship_package
 from cellmend.sources.tables import CONTINUOUS, INTEGRAL
 
 logger = logging.getLogger("cellmend")
+#: Counts of value pairs, of three values and a number each, that are broadcast at most.
+MOST_BROADCAST = 200_000
 
 
 @dataclass
@@ -57,7 +59,8 @@ class CountingModel:
     """Posteriors of the classes of all `targets`, from smoothed counts of value pairs.
 
     `pairs` (set, given, class, cnt) and `classes` (y, class, n, base) are DataFrames; the
-    number of classes is bounded by the threshold of discrete columns.
+    number of classes is bounded by the threshold of discrete columns. Up to MOST_BROADCAST
+    pairs are broadcast to the cells, so a frequent value doesn't gather them in one task.
     """
 
     targets: list[str]
@@ -65,6 +68,7 @@ class CountingModel:
     pairs: DataFrame
     classes: DataFrame
     smoothing: float
+    small: bool = False
 
     def pmf(self, discrete: DataFrame, cells: DataFrame, row_id: str) -> DataFrame:
         """(row id, attribute, current_value, pmf): all classes by falling probability."""
@@ -76,7 +80,7 @@ class CountingModel:
         plain = F.create_map().cast("map<string,double>")
         if sets:
             own = F.filter("__sets", lambda s: s["y"] == F.col("attribute"))
-            met = rows.select(*keys, F.explode(own).alias("s")).select(*keys, "s.set", "s.given").join(self.pairs, ["set", "given"])
+            met = rows.select(*keys, F.explode(own).alias("s")).select(*keys, "s.set", "s.given").join(F.broadcast(self.pairs) if self.small else self.pairs, ["set", "given"])
             gain = F.ln((F.col("cnt") + self.smoothing) / F.lit(self.smoothing))
             gains = met.groupBy(*keys, "class").agg(F.sum(gain).alias("g")).groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("class", "g"))).alias("__gains"))
             joined = wanted.join(gains.select(col(row_id).alias("__id"), F.col("attribute").alias("__a"), "__gains"), (col(row_id) == F.col("__id")) & (F.col("attribute") == F.col("__a")), "left")
@@ -132,7 +136,8 @@ def fit_counting(discrete: DataFrame, targets: Iterable[str], features: dict[str
     unseen = F.aggregate(F.coalesce("ds", F.expr("cast(array() as array<bigint>)")), F.lit(0.0), lambda acc, d: acc + F.ln(F.lit(a) / (F.col("n") + d * a)))
     base = F.ln((F.col("n") + a) / (F.col("total") + F.col("k") * a)) + unseen
     classes = full.select(F.get(F.array(*map(F.lit, ys)), F.col("t").cast("int")).alias("y"), "class", "n", base.alias("base"))
-    return CountingModel(ys, features, pairs, classes, smoothing)
+    pairs, classes = cut(pairs), cut(classes)  # counted once, whatever the number of predictions
+    return CountingModel(ys, features, pairs, classes, smoothing, pairs.count() <= MOST_BROADCAST)
 
 
 def select_features(y: str, columns: Iterable[str], entropies: list[tuple[str, float]], most: int) -> list[str]:
