@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cellmend.api import Mender
+from cellmend.functions import costs
 from cellmend.operators import booster, models, rules, stats
 from cellmend.operators import detectors as d
 
@@ -37,6 +38,50 @@ def test_segments_lose_no_pair(spark, most):
     assert sorted(map(tuple, found.select("w", "value").collect())) == sorted(map(tuple, everything.select("w", "value").collect()))
 
 
+def test_numbered_names_meet_few(spark):
+    """Segments that all names share bring nothing together, and no pair is lost for it."""
+    names = [f"Customer#{i:09d}" for i in range(4000)]
+    frame = lambda xs, name: spark.createDataFrame([("t", x) for x in xs], f"a string, {name} string")
+    wrong = frame([x + "x" for x in names[::8]], "w")
+    for most, met in ((1, 500), (2, 500 * 400)):
+        found = rules.within_edits(wrong, frame(names, "value"), most)
+        near = F.levenshtein("w", "value") <= most
+        assert found.count() <= met and found.where(near).count() == wrong.join(frame(names, "value"), "a").where(near).count()
+
+
+@pytest.mark.parametrize("batch", [1 << 20, 5])
+def test_deletions_lose_no_pair(spark, monkeypatch, batch):
+    monkeypatch.setattr(rules, "HASHES", batch)
+    rand = random.Random(3)
+    some = lambda n: sorted({"".join(rand.choices("aab\U0001f600", k=rand.randint(0, 9))) for _ in range(n)})
+    wrong, clean = some(50), some(70)
+    frame = lambda xs, name: spark.createDataFrame([("t", x) for x in xs], f"a string, {name} string")
+    for most in (0, 1, 2):
+        near = F.levenshtein("w", "value") <= most
+        found = rules._by_deletions(frame(wrong, "w"), frame(clean, "value"), most).where(near)
+        everything = frame(wrong, "w").join(frame(clean, "value"), "a").where(near).select("a", "w", "value")
+        assert sorted(map(tuple, found.collect())) == sorted(map(tuple, everything.collect()))
+
+
+@pytest.mark.parametrize("threshold", [0.0, 1.5, 3.0])
+def test_nearest_as_by_all_pairs(spark, threshold):
+    """Few edits are tried first; ties at the least cost and values beyond the threshold stay."""
+    rand = random.Random(8)
+    names = [f"item-{rand.randrange(10**6):07d}" for _ in range(150)]
+    rows = [(i, x if i % 3 else "".join(c for c in x if rand.random() > 0.15) + "xy"[: rand.randrange(3)]) for i, x in enumerate(rand.choices(names, k=300))]
+    df = spark.createDataFrame(rows, "tid int, name string")
+    cells = df.where("tid % 3 = 0").selectExpr("tid", "'name' attribute", "name current_value")
+    cost, clean = costs.Levenshtein(), sorted({x for i, x in rows if i % 3})
+    expected = []
+    for i, w in rows:
+        priced = sorted((cost.compute(w, v), v) for v in clean) if i % 3 == 0 else []
+        if priced and priced[0][0] <= threshold and priced[1][0] > priced[0][0]:
+            expected.append((i, "name", w, priced[0][1]))
+    left, found = rules.by_nearest(df.where("tid % 3 <> 0"), cells, "tid", ["name"], cost, threshold)
+    assert sorted(map(tuple, found.collect())) == expected and left.count() == 100 - len(expected)
+    assert len(expected) >= (3 if threshold < 1 else 10)
+
+
 def flowers(n=300, seed=1):
     """Three kinds that differ in four measures, with as much noise as such tables have."""
     rand = np.random.default_rng(seed)
