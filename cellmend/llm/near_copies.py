@@ -14,9 +14,14 @@ of sets, so that a set is sent to few units where there are many.
 
 A unit returns four spanning forests of the links, each the nearest one of what those before
 have left: all links of a group of up to eight, and a few for each member of a larger one, never
-its pairs. The first, and then what of the others is between its trees, are verified on the shingle sets themselves, so texts of one group are connected
-by true likenesses of 0.8 only; a link between large groups is lost only if all paths of nearer
-ones in four forests fail the verification.
+its pairs. The first, and then what of the others is between its trees, are verified on the shingle
+sets themselves, so texts of one group are connected by true likenesses of 0.8 only.
+
+What forests and radius leave out is found exactly between the groups that result: under any
+common order of shingles, two sets of likeness 0.8 share one of the first n - ceil(0.8 n) + 1 of
+each, and so many of these that the rest can make up for what lacks. The order is that of the
+hashes, with shingles last that are frequent in some documents; it is of no matter for the result.
+Pairs of one group meet nowhere.
 
 Null text counts as empty; texts without words are copies of one another. A text of fewer than
 five words is one shingle. Rows are told apart by a key of their own, so null and repeated ids
@@ -30,7 +35,7 @@ import math
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -47,6 +52,8 @@ FORESTS = 4
 TILE = 4096
 #: Pairs in a block of the comparison.
 BLOCK = 1 << 18
+#: Texts, about, that tell which shingles are frequent, and in how many of them these are.
+LOOKED_AT, FREQUENT = 10_000, 4
 
 
 def _mixed(h: np.ndarray, k: int) -> np.ndarray:
@@ -77,14 +84,63 @@ def add_shingles(df: DataFrame, text_col: str = "text", out: str = "shingles") -
     return append_columns(df, [text_col], [T.StructField(out, T.ArrayType(T.LongType()))], _sets)
 
 
+def first_shingles(hashes: np.ndarray, frequent: np.ndarray, likeness: float) -> np.ndarray:
+    """Those of a set of rising hashes one of which any set of the likeness has among its own."""
+    late = np.zeros(len(hashes), bool)
+    if len(frequent):
+        late = frequent[np.minimum(np.searchsorted(frequent, hashes), len(frequent) - 1)] == hashes
+    return np.concatenate([hashes[~late], hashes[late]])[: first_number(len(hashes), likeness)]
+
+
+def first_number(n: int, likeness: float) -> int:
+    return n - math.ceil(likeness * n - 1e-9) + 1 if n else 0
+
+
+def _firsts(frequent: np.ndarray, likeness: float):
+    return lambda text: [[first_shingles(np.unique(shingle_hashes(x, WIDTH)), frequent, likeness).view(np.int64) for x in texts(text)]]
+
+
+def bitmap(hashes: np.ndarray) -> bytes:
+    """A set's bits, numbered by the hashes' last digits; twice as many as hashes, or more."""
+    size = 1 << max(6, (2 * len(hashes)).bit_length())
+    bits = np.zeros(size, bool)
+    bits[(hashes & np.uint64(size - 1)).astype(np.int64)] = True
+    return np.packbits(bits).tobytes()
+
+
+def most_shared(a: bytes, b: bytes, n: int, m: int) -> int:
+    """What sets of n and m shingles share at most: a bit of one that the other lacks stands for
+    one that isn't shared at least."""
+    x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+    while len(x) > len(y):
+        x = x[: len(x) // 2] | x[len(x) // 2 :]
+    while len(y) > len(x):
+        y = y[: len(y) // 2] | y[len(y) // 2 :]
+    lacks = lambda p, q: int(np.bitwise_count(p & ~q).sum())
+    return min(n - lacks(x, y), m - lacks(y, x))
+
+
+def _most_shared():
+    return lambda *columns: [[most_shared(*row) for row in zip(*(c.to_pylist() for c in columns), strict=True)]]
+
+
 def _marks():
     def work(text):
         sets = [np.unique(shingle_hashes(x, WIDTH)) for x in texts(text)]
-        return [[len(s) for s in sets], [xxhash.xxh3_128_digest(s.tobytes()) for s in sets], [wide_fingerprint(s) for s in sets]]
+        return [[len(s) for s in sets], [xxhash.xxh3_128_digest(s.tobytes()) for s in sets], [wide_fingerprint(s) for s in sets], [bitmap(s) for s in sets]]
 
     return work
 
 
+def _frequent(rows: DataFrame) -> np.ndarray:
+    """Rising hashes of shingles that some texts of the rows share; which they are is of no
+    matter for what is found."""
+    part = max(1, rows.count() // LOOKED_AT)
+    some = add_shingles(rows.where(F.pmod(F.xxhash64("row"), F.lit(part)) == 0).select("text")).select(F.explode("shingles").alias("h"))
+    found = some.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") >= FREQUENT).select("h").collect()  # a part of the looked-at texts' words
+    return np.sort(np.array([r["h"] for r in found], np.int64).view(np.uint64))
+
+
 def nearest_forest(n: int, u: np.ndarray, v: np.ndarray, apart: np.ndarray) -> np.ndarray:
     """Places of the links (u, v) of least total distance that connect nodes 0 to n-1 as all do."""
     weight = apart.astype(np.int64) * (len(u) + 1) + np.arange(len(u))  # no two alike
@@ -214,10 +270,32 @@ def _verified(pairs: DataFrame, rows: DataFrame, likeness: float) -> DataFrame:
     return both.where((1 + likeness) * F.col("shared") >= likeness * (F.size("of_u") + F.size("of_v")) - 1e-9).select("u", "v")
 
 
+def _between(firsts: DataFrame, sets: DataFrame, likeness: float) -> DataFrame:
+    """(u, v), u < v: all pairs of nodes of different roots that may have the likeness, as first
+    shingles (node, n, root, first) and then bitmaps (node, n, bits) tell."""
+    # Nearly all shingles are of one root, and go before any list is made.
+    of = Window.partitionBy("h")
+    spread = firsts.select(F.explode("first").alias("h"), "node", "root", F.col("n").cast("int"))
+    shared = spread.withColumn("a", F.min("root").over(of)).withColumn("b", F.max("root").over(of)).where("a <> b")
+    shared = shared.groupBy("h").agg(F.collect_list(F.struct("node", "root", "n")).alias("held"))
+    met = shared.select("held", F.explode("held").alias("x")).select("x", F.explode("held").alias("y")).where("x.node < y.node and x.root <> y.root")
+    sizes = F.col("x.n"), F.col("y.n")
+    met = met.where(F.least(*sizes) >= likeness * F.greatest(*sizes) - 1e-9)
+    pairs = met.groupBy(F.col("x.node").alias("u"), F.col("y.node").alias("v")).agg(F.count("*").alias("both"), F.first("x.n").alias("n_u"), F.first("y.n").alias("n_v"))
+    # All shared ones up to the end of the first list that ends are among both.
+    rest = lambda n: F.ceil(likeness * F.col(n) - 1e-9) - 1
+    enough = lambda c: (1 + likeness) * c >= likeness * (F.col("n_u") + F.col("n_v")) - 1e-9
+    pairs = pairs.where(enough(F.col("both") + F.greatest(rest("n_u"), rest("n_v"))))
+    side = lambda end: sets.select(F.col("node").alias(end), F.col("bits").alias(f"bits_{end}"))
+    marked = pairs.join(side("u"), "u").join(side("v"), "v").select("u", "v", "bits_u", "bits_v", "n_u", "n_v")
+    told = append_columns(marked, ["bits_u", "bits_v", "n_u", "n_v"], [T.StructField("most", T.LongType())], _most_shared)
+    return told.where(enough(F.col("most"))).select("u", "v")
+
+
 def groups(rows: DataFrame, radius: int = RADIUS, likeness: float = LIKENESS) -> DataFrame:
     """(row, group) of rows (row, text), a stored table of distinct long keys; rows are of one group
     where links connect them."""
-    fields = [T.StructField("n", T.LongType()), T.StructField("digest", T.BinaryType()), T.StructField("fp", T.ArrayType(T.LongType()))]
+    fields = [T.StructField("n", T.LongType()), T.StructField("digest", T.BinaryType()), T.StructField("fp", T.ArrayType(T.LongType())), T.StructField("bits", T.BinaryType())]
     marks = stored(append_columns(rows.select("row", "text"), ["text"], fields, _marks).drop("text"))
     nodes = stored(marks.groupBy("digest").agg(F.min("row").alias("node"), F.min("n").alias("n"), F.min("fp").alias("fp")))
     pairs = stored(_candidates(nodes, radius, likeness).groupBy(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).agg(F.min("forest").alias("forest")))
@@ -225,8 +303,17 @@ def groups(rows: DataFrame, radius: int = RADIUS, likeness: float = LIKENESS) ->
     first = stored(_verified(pairs.where("forest = 0"), rows, likeness))
     roots = stored(components(first))
     of = lambda end: roots.select(F.col("node").alias(end), F.col("root").alias(f"of_{end}"))
-    across = pairs.where("forest > 0").join(of("u"), "u", "left").join(of("v"), "v", "left").where("coalesce(of_u, u) <> coalesce(of_v, v)").select("u", "v")
-    linked = components(first.union(_verified(stored(across), rows, likeness)))
+    across = stored(pairs.where("forest > 0").join(of("u"), "u", "left").join(of("v"), "v", "left").where("coalesce(of_u, u) <> coalesce(of_v, v)").select("u", "v"))
+    linked = stored(components(first.union(_verified(across, rows, likeness))))
+    # The exact way for links that are in no forest or beyond the radius.
+    rooted = nodes.select("node", "n").join(linked, "node", "left").select("node", "n", F.coalesce("root", "node").alias("root"))
+    listed = append_columns(rows.select("row", "text"), ["text"], [T.StructField("first", T.ArrayType(T.LongType()))], _firsts, _frequent(rows), likeness)
+    firsts = listed.select(F.col("row").alias("node"), "first").join(rooted, "node")
+    between = _between(firsts, marks.select(F.col("row").alias("node"), "bits"), likeness)
+    done = pairs.where("forest = 0").select("u", "v").union(across)
+    more = stored(_verified(stored(between.join(done, ["u", "v"], "left_anti")), rows, likeness))
+    if not more.isEmpty():
+        linked = components(linked.select(F.col("node").alias("u"), F.col("root").alias("v")).union(more))
     return marks.select("digest", "row").join(nodes.select("digest", "node"), "digest").join(linked, "node", "left").select("row", F.coalesce("root", "node").alias("group"))
 
 

@@ -57,6 +57,57 @@ def test_near_copies_go(spark, monkeypatch, tile, block):
     assert len(found) < len({t for _, t in rows}) - 30
 
 
+def as_rows(spark, texts):
+    return spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+
+
+def left_by_brute(texts):
+    return sorted({g for g in brute_groups(texts)})
+
+
+@pytest.mark.parametrize("frequent", [2, 10**9])
+def test_no_link_is_lost_beyond_the_radius(spark, monkeypatch, frequent):
+    """Sets of few shingles that are four of five alike, of which fingerprints miss several."""
+    monkeypatch.setattr(near_copies, "FREQUENT", frequent)
+    rand = random.Random(6)
+    texts = []
+    for i in range(150):
+        words = [f"w{rand.randrange(500)}" for _ in range(rand.choice([9, 9, 13, 14, 19]))]
+        texts += [" ".join(words), " ".join(words[: -((len(words) - 4) // 5)])]
+    left = near_copies.drop_near_copies(as_rows(spark, texts))
+    assert sorted(r["doc_id"] for r in left.collect()) == left_by_brute(texts)
+
+
+def test_no_link_is_lost_where_forests_fail(spark, monkeypatch):
+    """Were no link in any forest, all would be found between the groups."""
+    texts = [t for _, t in edited()]
+    df, expected = as_rows(spark, texts), left_by_brute(texts)
+    monkeypatch.setattr(near_copies, "_candidates", lambda nodes, *_: nodes.sparkSession.createDataFrame([], "u long, v long, forest long"))
+    assert sorted(r["doc_id"] for r in near_copies.drop_near_copies(df).collect()) == expected
+
+
+def test_bitmaps_bound_what_is_shared():
+    rand = np.random.default_rng(9)
+    for _ in range(200):
+        a, b = (np.unique(rand.integers(0, 1 << 62, int(rand.integers(1, 90))).astype(np.uint64)) for _ in range(2))
+        a = np.union1d(a, b[: int(rand.integers(0, len(b) + 1))])
+        shared = len(np.intersect1d(a, b))
+        assert shared <= near_copies.most_shared(near_copies.bitmap(a), near_copies.bitmap(b), len(a), len(b)) <= shared + 40
+
+
+def test_first_shingles_meet():
+    """Any two sets of the likeness share a first one, whatever is frequent."""
+    rand = np.random.default_rng(2)
+    for likeness in (0.5, 0.8, 1.0):
+        for _ in range(200):
+            n = int(rand.integers(1, 60))
+            shared = int(np.ceil(likeness * n))
+            h = rand.permutation(200)[: 2 * n - shared].astype(np.uint64)
+            a, b, frequent = np.sort(h[:n]), np.sort(h[n - shared :]), np.sort(rand.permutation(200)[:100]).astype(np.uint64)
+            if len(a) and len(np.intersect1d(a, b)) >= likeness * len(np.union1d(a, b)):
+                assert len(np.intersect1d(*(near_copies.first_shingles(x, frequent, likeness) for x in (a, b))))
+
+
 def test_near_copies_of_odd_tables(spark, odd, none):
     assert near_copies.drop_near_copies(none).count() == 0
     left = near_copies.drop_near_copies(odd)
