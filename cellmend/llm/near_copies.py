@@ -19,9 +19,12 @@ sets themselves, so texts of one group are connected by true likenesses of 0.8 o
 
 What forests and radius leave out is found exactly between the groups that result: under any
 common order of shingles, two sets of likeness 0.8 share one of the first n - ceil(0.8 n) + 1 of
-each, and so many of these that the rest can make up for what lacks. The order is that of the
-hashes, with shingles last that are frequent in some documents; it is of no matter for the result.
-Pairs of one group meet nowhere.
+each. The order is that of the hashes, with shingles last that are frequent in some documents; it
+is of no matter for the result. First shingles go out as packed numbers of eight bytes with their
+text, and only those that several texts have come back as rows. Shingles that the same least and
+largest group have are taken together: their texts are compared by bitmaps with numpy, pairs of one
+group excepted, and only pairs that may have the likeness become rows and are verified. So a family
+of texts that are alike, but not enough, makes no rows for its pairs, however many shingles they share.
 
 Null text counts as empty; texts without words are copies of one another. A text of fewer than
 five words is one shingle. Rows are told apart by a key of their own, so null and repeated ids
@@ -34,6 +37,7 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -54,6 +58,10 @@ TILE = 4096
 BLOCK = 1 << 18
 #: Texts, about, that tell which shingles are frequent, and in how many of them these are.
 LOOKED_AT, FREQUENT = 10_000, 4
+#: First shingles that a task holds before it packs them, and those of a shard, about.
+PACKED, SHARD = 1 << 20, 1 << 21
+#: Members, about, that one call compares, and bytes of the bitmaps that it looks at at once.
+MEMBERS, LOOK = 1 << 12, 1 << 23
 
 
 def _mixed(h: np.ndarray, k: int) -> np.ndarray:
@@ -96,8 +104,61 @@ def first_number(n: int, likeness: float) -> int:
     return n - math.ceil(likeness * n - 1e-9) + 1 if n else 0
 
 
-def _firsts(frequent: np.ndarray, likeness: float):
-    return lambda text: [[first_shingles(np.unique(shingle_hashes(x, WIDTH)), frequent, likeness).view(np.int64) for x in texts(text)]]
+def pack(hashes: np.ndarray, rows: np.ndarray, shards: int) -> list[tuple[int, int, bytes, bytes]]:
+    """(shard, upper half of the rows, 32 bits of each hash, lower half of each row): the shard and
+    the bits are the hash's last digits, of which shards is a power of two."""
+    shard, upper = (hashes & np.uint64(shards - 1)).astype(np.int64), rows >> 32
+    order = np.lexsort((shard, upper))
+    shard, upper = shard[order], upper[order]
+    bits = (hashes[order] >> np.uint64(shards.bit_length() - 1)).astype(np.uint32)
+    lower = rows[order].view(np.uint64).astype(np.uint32)
+    cuts = np.flatnonzero((np.diff(shard) != 0) | (np.diff(upper) != 0)) + 1
+    ends = zip([0, *cuts.tolist()], [*cuts.tolist(), len(order)], strict=True)
+    return [(int(shard[i]), int(upper[i]), bits[i:k].tobytes(), lower[i:k].tobytes()) for i, k in ends if i < k]
+
+
+def unpack_shared(shard: int, upper: np.ndarray, bits: list[bytes], lower: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(h, row) of a shard's hashes that several rows have."""
+    h, rows = np.frombuffer(b"".join(bits), np.uint32), np.frombuffer(b"".join(lower), np.uint32).astype(np.int64)
+    rows |= np.repeat(upper.astype(np.int64) << 32, [len(x) // 4 for x in lower])
+    order = np.argsort(h, kind="stable")
+    h, rows = h[order], rows[order]
+    same = np.concatenate([[False], h[1:] == h[:-1], [False]])
+    several = same[1:] | same[:-1]
+    return h[several].astype(np.int64) | np.int64(shard << 32), rows[several]
+
+
+def _shared_firsts(rows: DataFrame, total: int, likeness: float) -> DataFrame:
+    """(h, row): what several rows (row, text) have among their first shingles, of about `total`
+    ones. Some of the hashes may be of two shingles."""
+    frequent = _frequent(rows)
+    shards = 1 << max(6, (total // SHARD).bit_length())
+    fields = pa.schema([("shard", pa.int64()), ("upper", pa.int64()), ("bits", pa.binary()), ("lower", pa.binary())])
+
+    def run(batches):
+        held, count = [], 0
+
+        def packed():
+            found = pack(np.concatenate([h for h, _ in held]), np.repeat(np.array([r for _, r in held], np.int64), [len(h) for h, _ in held]), shards)
+            for at in range(0, len(found), 64):
+                yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*found[at : at + 64], strict=True), fields, strict=True)], schema=fields)
+
+        for batch in batches:
+            for row, text in zip(batch.column(0).to_pylist(), texts(batch.column(1)), strict=True):
+                held.append((first_shingles(np.unique(shingle_hashes(text, WIDTH)), frequent, likeness), row))
+                if (count := count + len(held[-1][0])) >= PACKED:
+                    yield from packed()
+                    held, count = [], 0
+        if count:
+            yield from packed()
+
+    def shared(part: pd.DataFrame) -> pd.DataFrame:
+        h, of = unpack_shared(int(part["shard"].iloc[0]), part["upper"].to_numpy(), part["bits"].tolist(), part["lower"].tolist())
+        return pd.DataFrame({"h": h, "row": of})
+
+    bounded_batches(rows.sparkSession)
+    firsts = rows.select("row", "text").mapInArrow(run, "shard long, upper long, bits binary, lower binary")
+    return firsts.groupBy("shard").applyInPandas(shared, "h long, row long")
 
 
 def bitmap(hashes: np.ndarray) -> bytes:
@@ -111,17 +172,50 @@ def bitmap(hashes: np.ndarray) -> bytes:
 def most_shared(a: bytes, b: bytes, n: int, m: int) -> int:
     """What sets of n and m shingles share at most: a bit of one that the other lacks stands for
     one that isn't shared at least."""
-    x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
-    while len(x) > len(y):
-        x = x[: len(x) // 2] | x[len(x) // 2 :]
-    while len(y) > len(x):
-        y = y[: len(y) // 2] | y[len(y) // 2 :]
-    lacks = lambda p, q: int(np.bitwise_count(p & ~q).sum())
-    return min(n - lacks(x, y), m - lacks(y, x))
-
-
-def _most_shared():
-    return lambda *columns: [[most_shared(*row) for row in zip(*(c.to_pylist() for c in columns), strict=True)]]
+    return int(most_shared_of(*(np.frombuffer(x, np.uint64)[None] for x in (a, b)), np.array([n]), np.array([m]))[0])
+
+
+def most_shared_of(x: np.ndarray, y: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """most_shared of each row of bitmaps."""
+    while x.shape[1] > y.shape[1]:
+        x = x[:, : x.shape[1] // 2] | x[:, x.shape[1] // 2 :]
+    while y.shape[1] > x.shape[1]:
+        y = y[:, : y.shape[1] // 2] | y[:, y.shape[1] // 2 :]
+    lacks = lambda p, q: np.bitwise_count(p & ~q).sum(axis=1, dtype=np.int64)
+    return np.minimum(n - lacks(x, y), m - lacks(y, x))
+
+
+def cross_pairs(key: np.ndarray, root: np.ndarray, most: int = 1 << 20):
+    """Blocks of places (i, j): all pairs of one key and different roots, once each; rows are in the
+    order of (key, root). A block has `most` pairs or those of one place."""
+    new_key = np.concatenate([[True], key[1:] != key[:-1]])
+    new_run = new_key | np.concatenate([[True], root[1:] != root[:-1]])
+    ends = lambda new: np.append(np.flatnonzero(new)[1:], len(key))[np.cumsum(new) - 1]
+    start = ends(new_run)
+    number = ends(new_key) - start
+    upto, at = np.cumsum(number), 0
+    while at < len(key):
+        before = upto[at] - number[at]
+        to = max(at + 1, int(np.searchsorted(upto, before + most, "right")))
+        i = np.repeat(np.arange(at, to), number[at:to])
+        yield i, np.arange(len(i)) - np.repeat(upto[at:to] - number[at:to] - before, number[at:to]) + start[i]
+        at = to
+
+
+def may_be_alike(n: np.ndarray, bits: list[bytes], i: np.ndarray, j: np.ndarray, likeness: float) -> np.ndarray:
+    """Which pairs of places may have the likeness, as sizes and bitmaps tell."""
+    open_ = np.flatnonzero(np.minimum(n[i], n[j]) >= likeness * np.maximum(n[i], n[j]) - 1e-9)
+    size = np.fromiter(map(len, bits), np.int64, len(bits))
+    kinds, told = size[i[open_]] << 32 | size[j[open_]], []
+    for kind in np.unique(kinds):
+        of = open_[kinds == kind]
+        step = max(1, LOOK // int(max(kind >> 32, kind & 0xFFFFFFFF)))
+        for at in range(0, len(of), step):
+            part = of[at : at + step]
+            x, y = (np.frombuffer(b"".join(map(bits.__getitem__, p[part].tolist())), np.uint64).reshape(len(part), -1) for p in (i, j))
+            a, b = n[i[part]], n[j[part]]
+            told.append(part[(1 + likeness) * most_shared_of(x, y, a, b) >= likeness * (a + b) - 1e-9])
+    return np.concatenate([*told, np.empty(0, np.int64)])
 
 
 def _marks():
@@ -270,26 +364,35 @@ def _verified(pairs: DataFrame, rows: DataFrame, likeness: float) -> DataFrame:
     return both.where((1 + likeness) * F.col("shared") >= likeness * (F.size("of_u") + F.size("of_v")) - 1e-9).select("u", "v")
 
 
-def _between(firsts: DataFrame, sets: DataFrame, likeness: float) -> DataFrame:
-    """(u, v), u < v: all pairs of nodes of different roots that may have the likeness, as first
-    shingles (node, n, root, first) and then bitmaps (node, n, bits) tell."""
-    # Nearly all shingles are of one root, and go before any list is made.
+def _between(hits: DataFrame, sets: DataFrame, likeness: float) -> DataFrame:
+    """(u, v), u < v: all pairs of nodes of different roots that may have the likeness, as shared
+    first shingles (h, node, root) and bitmaps (node, n, bits) tell."""
     of = Window.partitionBy("h")
-    spread = firsts.select(F.explode("first").alias("h"), "node", "root", F.col("n").cast("int"))
-    shared = spread.withColumn("a", F.min("root").over(of)).withColumn("b", F.max("root").over(of)).where("a <> b")
-    shared = shared.groupBy("h").agg(F.collect_list(F.struct("node", "root", "n")).alias("held"))
-    met = shared.select("held", F.explode("held").alias("x")).select("x", F.explode("held").alias("y")).where("x.node < y.node and x.root <> y.root")
-    sizes = F.col("x.n"), F.col("y.n")
-    met = met.where(F.least(*sizes) >= likeness * F.greatest(*sizes) - 1e-9)
-    pairs = met.groupBy(F.col("x.node").alias("u"), F.col("y.node").alias("v")).agg(F.count("*").alias("both"), F.first("x.n").alias("n_u"), F.first("y.n").alias("n_v"))
-    # All shared ones up to the end of the first list that ends are among both.
-    rest = lambda n: F.ceil(likeness * F.col(n) - 1e-9) - 1
-    enough = lambda c: (1 + likeness) * c >= likeness * (F.col("n_u") + F.col("n_v")) - 1e-9
-    pairs = pairs.where(enough(F.col("both") + F.greatest(rest("n_u"), rest("n_v"))))
-    side = lambda end: sets.select(F.col("node").alias(end), F.col("bits").alias(f"bits_{end}"))
-    marked = pairs.join(side("u"), "u").join(side("v"), "v").select("u", "v", "bits_u", "bits_v", "n_u", "n_v")
-    told = append_columns(marked, ["bits_u", "bits_v", "n_u", "n_v"], [T.StructField("most", T.LongType())], _most_shared)
-    return told.where(enough(F.col("most"))).select("u", "v")
+    spread = hits.withColumn("a", F.min("root").over(of)).withColumn("b", F.max("root").over(of)).where("a <> b")
+    # A family's shingles have few such ends, where its members meet once, not at each shingle.
+    members = stored(spread.select("a", "b", "node", "root").distinct())
+    held = members.groupBy("a", "b").agg(F.ceil(F.count("*") / TILE).cast("int").alias("cuts")).where("cuts > 1")
+    parts = members.count() // MEMBERS + 1
+    dealt = members.join(held, ["a", "b"], "left").withColumn("cuts", F.coalesce("cuts", F.lit(1)))
+    dealt = dealt.withColumn("cut", F.pmod(F.xxhash64("node"), F.col("cuts")).cast("int")).withColumn("k", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)))
+    unit = F.xxhash64("a", "b", F.least("cut", "k"), F.greatest("cut", "k"))  # units that clash only meet in vain
+    dealt = dealt.select("node", "root", "cut", (F.col("cut") == F.col("k")).alias("own"), unit.alias("unit")).join(sets, "node")
+
+    def compare(group: pd.DataFrame) -> pd.DataFrame:
+        # A cut's own unit holds all its pairs, other units those of two cuts.
+        group = group.sort_values(["unit", "root"], ignore_index=True)
+        unit, root, node, n, cut, own = (group[c].to_numpy() for c in ("unit", "root", "node", "n", "cut", "own"))
+        bits, found = group["bits"].tolist(), []
+        for i, j in cross_pairs(unit, root):
+            asked = (cut[i] != cut[j]) | own[i]
+            i, j = i[asked], j[asked]
+            near = may_be_alike(n, bits, i, j, likeness)
+            found.append(np.stack([node[i[near]], node[j[near]]]))
+        u, v = np.concatenate([*found, np.empty((2, 0), np.int64)], axis=1)
+        return pd.DataFrame({"u": np.minimum(u, v), "v": np.maximum(u, v)})
+
+    bounded_batches(hits.sparkSession)
+    return dealt.withColumn("part", F.pmod("unit", F.lit(parts))).groupBy("part").applyInPandas(compare, "u long, v long").distinct()
 
 
 def groups(rows: DataFrame, radius: int = RADIUS, likeness: float = LIKENESS) -> DataFrame:
@@ -306,10 +409,10 @@ def groups(rows: DataFrame, radius: int = RADIUS, likeness: float = LIKENESS) ->
     across = stored(pairs.where("forest > 0").join(of("u"), "u", "left").join(of("v"), "v", "left").where("coalesce(of_u, u) <> coalesce(of_v, v)").select("u", "v"))
     linked = stored(components(first.union(_verified(across, rows, likeness))))
     # The exact way for links that are in no forest or beyond the radius.
-    rooted = nodes.select("node", "n").join(linked, "node", "left").select("node", "n", F.coalesce("root", "node").alias("root"))
-    listed = append_columns(rows.select("row", "text"), ["text"], [T.StructField("first", T.ArrayType(T.LongType()))], _firsts, _frequent(rows), likeness)
-    firsts = listed.select(F.col("row").alias("node"), "first").join(rooted, "node")
-    between = _between(firsts, marks.select(F.col("row").alias("node"), "bits"), likeness)
+    rooted = nodes.select("node").join(linked, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
+    total = int((1 - likeness) * (marks.agg(F.sum("n")).first()[0] or 0)) + 1
+    hits = _shared_firsts(rows, total, likeness).withColumnRenamed("row", "node").join(rooted, "node")
+    between = _between(hits, marks.select(F.col("row").alias("node"), "n", "bits"), likeness)
     done = pairs.where("forest = 0").select("u", "v").union(across)
     more = stored(_verified(stored(between.join(done, ["u", "v"], "left_anti")), rows, likeness))
     if not more.isEmpty():

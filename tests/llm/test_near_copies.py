@@ -86,6 +86,80 @@ def test_no_link_is_lost_where_forests_fail(spark, monkeypatch):
     assert sorted(r["doc_id"] for r in near_copies.drop_near_copies(df).collect()) == expected
 
 
+def rows_made(spark, run):
+    """The most rows that a Generate, Python or join node of the queries within run() made."""
+    store = spark._jsparkSession.sharedState().statusStore()
+    before, out, most = store.executionsCount(), run(), 0
+    for e in range(before, store.executionsCount()):
+        listed = store.executionsList(e, 1).head()
+        values, nodes = store.executionMetrics(listed.executionId()), store.planGraph(listed.executionId()).allNodes()
+        for node in (nodes.apply(k) for k in range(nodes.size())):
+            if any(w in node.name() for w in ("Generate", "Pandas", "Arrow", "Join")):
+                of = node.metrics()
+                for m in (of.apply(k) for k in range(of.size())):
+                    if m.name() == "number of output rows" and values.contains(m.accumulatorId()):
+                        most = max(most, int(values.apply(m.accumulatorId()).replace(",", "")))
+    return out, most
+
+
+def test_a_family_that_is_not_alike_enough_makes_no_rows_for_its_pairs(spark):
+    """Sixty edits of one text that share three of five shingles: at none of the shingles, nor in all."""
+    rand = random.Random(7)
+    base, texts = [f"w{k}" for k in range(300)], []
+    for i in range(60):
+        words = list(base)
+        for k in rand.sample(range(300), 8):
+            words[k] = f"x{i}x{k}"
+        texts.append(" ".join(words))
+    left, most = rows_made(spark, lambda: sorted(r["doc_id"] for r in near_copies.drop_near_copies(as_rows(spark, texts)).collect()))
+    assert left == left_by_brute(texts) and len(left) > 55
+    assert 0 < most <= 60 * (300 - 4)  # as many as all their shingles
+
+
+@pytest.mark.parametrize("tile, members, look", [(4096, 1 << 12, 1 << 23), (4, 16, 64)])
+def test_links_between_groups_in_cuts(spark, monkeypatch, tile, members, look):
+    """All pairs meet where a family is cut, and blocks hold a pair each."""
+    for name, value in (("TILE", tile), ("MEMBERS", members), ("LOOK", look), ("PACKED", members), ("SHARD", members)):
+        monkeypatch.setattr(near_copies, name, value)
+    monkeypatch.setattr(near_copies, "_candidates", lambda nodes, *_: nodes.sparkSession.createDataFrame([], "u long, v long, forest long"))
+    rand, base = random.Random(3), [f"w{k}" for k in range(60)]
+    texts = []
+    for i in range(40):
+        words = list(base)
+        for k in rand.sample(range(60), rand.choice([1, 2, 2, 3])):
+            words[k] = f"x{i}x{k}"
+        texts.append(" ".join(words))
+    left = near_copies.drop_near_copies(as_rows(spark, texts))
+    expected = left_by_brute(texts)
+    assert sorted(r["doc_id"] for r in left.collect()) == expected and 1 < len(expected) < 40
+
+
+def test_packed_rows_come_back():
+    rand = np.random.default_rng(1)
+    h = rand.integers(0, 1 << 62, 500).astype(np.uint64)
+    h[300:] = h[:200]
+    rows = rand.choice([1, 5, 1 << 32, (3 << 33) + 7, (1 << 62) + (1 << 32) - 1, -9], 500).astype(np.int64)
+    rows[300:] = rows[:200] ^ 2
+    found, packed = set(), near_copies.pack(h, rows, 64)
+    for shard in {p[0] for p in packed}:
+        of = [p for p in packed if p[0] == shard]
+        key, row = near_copies.unpack_shared(shard, np.array([p[1] for p in of]), [p[2] for p in of], [p[3] for p in of])
+        for k in np.unique(key):
+            found.add(tuple(sorted(row[key == k].tolist())))
+    assert found == {tuple(sorted((int(rows[k]), int(rows[300 + k])))) for k in range(200)}
+
+
+@pytest.mark.parametrize("most", [1, 7, 1 << 20])
+def test_cross_pairs(most):
+    rand = np.random.default_rng(8)
+    for n in (0, 1, 30):
+        key, root = rand.integers(0, 4, n), rand.integers(0, 5, n)
+        order = np.lexsort((root, key))
+        key, root = key[order], root[order]
+        pairs = [x for i, j in near_copies.cross_pairs(key, root, most) for x in zip(i.tolist(), j.tolist(), strict=True)]
+        assert sorted(pairs) == [(i, j) for i in range(n) for j in range(i + 1, n) if key[i] == key[j] and root[i] != root[j]]
+
+
 def test_bitmaps_bound_what_is_shared():
     rand = np.random.default_rng(9)
     for _ in range(200):
